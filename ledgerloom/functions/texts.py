@@ -40,3 +40,10 @@ def outside_workbook(formula: Column) -> Column:
 def initials(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
     return F.array_join(F.transform(words, lambda w: F.upper(F.left(w, F.lit(1)))), "")
+
+
+def number_in_text(text: Column) -> Column:
+    """A plain decimal number written as text, else null."""
+    clean = strip(text)
+    plain = clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")
+    return F.when(plain, clean.try_cast("double"))

@@ -123,15 +123,19 @@ def oversized_ranges(cells: DataFrame) -> DataFrame:
 
 
 def reach(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(workbook_id, root, node, depth) for everything reachable, roots included.
+    """(workbook_id, root, node, depth) for everything reachable, roots included."""
+    return reach_from(
+        roots.select("workbook_id", "root").distinct().withColumn("node", F.col("root")), edges
+    )
+
+
+def reach_from(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same from given start nodes; ``root`` only names the set they belong to.
 
     Frontier rounds: each pair is found once, at its smallest depth.
     """
     edges = edges.select(*EDGE)
-    front = cut(
-        roots.select("workbook_id", "root").distinct()
-        .withColumns({"node": F.col("root"), "depth": F.lit(0)})
-    )
+    front = cut(starts.select("workbook_id", "root", "node").distinct().withColumn("depth", F.lit(0)))
     parts = [front]
     while True:
         seen = reduce(DataFrame.unionByName, parts)

@@ -64,16 +64,21 @@ def with_previous(
     df, keys, added = _keys(df, keys)
     df = df.withColumn("_block", F.floor(F.col(order) / width))
     tails = df.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_tail"))
-    tails = tails.withColumn(
-        "_carried", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_block"))
-    ).drop("_tail")
+    # One more level, so that even a single chain leaves few rows for one sort.
+    tails = tails.withColumn("_wide", F.floor(F.col("_block") / width))
+    far = (
+        tails.groupBy(*keys, "_wide").agg(F.max_by("_tail", "_block").alias("_last"))
+        .withColumn("_far", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_wide")))
+        .drop("_last")
+    )
+    near = F.lag("_tail").over(Window.partitionBy(*keys, "_wide").orderBy("_block"))
+    tails = tails.join(far, [*keys, "_wide"]).select(
+        *keys, "_block", F.coalesce(near, F.col("_far")).alias("_carried")
+    )
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     result = (
         df.join(tails, [*keys, "_block"])
-        .withColumn(
-            out,
-            F.coalesce(F.lag(value).over(inside), F.col("_carried"), first),
-        )
+        .withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carried"), first))
         .drop("_carried", "_block")
     )
     return result.drop("_all") if added else result

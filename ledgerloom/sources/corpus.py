@@ -168,3 +168,38 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     )
     workbooks = ids.select("workbook_id", F.lit("automatic").alias("calc_mode"))
     return Corpus(cells, tabs, named, outputs, workbooks)
+
+
+def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger lines of every order workbook: a near label for each of its two outputs,
+    sometimes a repeated label, sometimes a line without counterpart."""
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    net = F.when(F.col("returned"), money("price") * F.lit("0.95").cast("decimal(4,2)")).otherwise(
+        money("price") * (F.lit(1).cast("decimal(4,2)") - F.col("discount").cast("decimal(4,2)"))
+    )
+    sums = order_rows(spark, sf_dir).groupBy("orderkey").agg(
+        F.round(F.sum(net), 2).cast("decimal(38,12)").alias("net")
+    )
+    k = F.col("orderkey")
+
+    def line(no: int, label: str, side: str, amount: Column, account: str) -> Column:
+        return F.struct(
+            F.lit(no).alias("line_no"), F.lit(f"REF-{no:04d}").alias("line_id"),
+            F.lit(label).alias("label"), F.lit(side).alias("debit_credit"),
+            amount.cast("decimal(38,12)").alias("amount"), F.lit(account).alias("account_number"),
+        )
+
+    lines = F.array_compact(
+        F.array(
+            line(1, "Order totals", "debit", F.col("net") + F.when(k % 5 == 0, 50).otherwise(0), "4000"),
+            line(2, "Net of charges", "debit", F.round(money("total") * F.lit("1.1").cast("decimal(4,2)"), 2), "4100"),
+            F.when(k % 4 == 0, line(3, "Freight insurance", "credit", F.lit(25), "4200")),
+            F.when(k % 6 == 0, line(4, "Order total", "debit", F.col("net"), "4300")),
+        )
+    )
+    return order_heads(spark, sf_dir).join(sums, "orderkey").select(
+        workbook_key(k).alias("report_id"), F.inline(lines)
+    ).select(
+        "*", F.lit("Acme").alias("entity"), F.lit("1998").alias("period"), F.lit("EUR").alias("currency"),
+        F.lit("Not supplied").alias("ledger_source"), F.lit(None).cast("string").alias("evidence_ref"),
+    )
