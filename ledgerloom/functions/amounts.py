@@ -6,10 +6,9 @@ from pyspark.sql import Column, functions as F
 
 MONEY = "decimal(38,12)"
 
-# The default materiality and the verdict order.
+# The default materiality.
 DEFAULT_PCT = 0.01
 DEFAULT_ABS = 100.0
-VERDICTS = ["pass", "warn", "incomplete", "block"]
 
 
 def money(amount: Column) -> Column:
@@ -54,9 +53,7 @@ def verdict(
     return (
         F.when((completeness == "partial") | d.isNull() | d_pct.isNull(), "incomplete")
         .when((d == 0) & (d_pct == 0), F.when(unsure, "warn").otherwise("pass"))
-        .otherwise(
-            F.element_at(F.array(F.lit("pass"), F.lit("warn"), F.lit("block")), worst + 1)
-        )
+        .otherwise(F.when(worst == 0, "pass").when(worst == 1, "warn").otherwise("block"))
     )
 
 
@@ -71,4 +68,9 @@ def verdict_rank(v: Column) -> Column:
 
 
 def verdict_of_rank(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), rank.cast("int") + 1)
+    """Null stays null. (Indexing a constant array would not keep it: the optimizer
+    takes such an element as never null, whatever the index.)"""
+    return (
+        F.when(rank == 0, "pass").when(rank == 1, "warn").when(rank == 2, "incomplete")
+        .when(rank == 3, "block")
+    )

@@ -368,7 +368,7 @@ ORACLES = {
              CAST(CASE WHEN lookup THEN 1 ELSE 0 END AS BIGINT) AS unsupported FROM per
       UNION ALL
       SELECT wb, 'Summary!B1', CASE WHEN lookup THEN 1 ELSE 3 END, CASE WHEN lookup THEN 2 ELSE 2 + d END,
-             2 + CASE WHEN lookup THEN 4 * n ELSE d + leaves END, CASE WHEN lookup THEN 1 ELSE 0 END FROM per""",
+             CAST(2 + CASE WHEN lookup THEN 4 * n ELSE d + leaves END AS BIGINT), CASE WHEN lookup THEN 1 ELSE 0 END FROM per""",
     "internal_reconciliation": f"""WITH {VALUES}
       SELECT wb AS report_id, ref AS output_ref, label, round(src, 6) AS source_value, round(val, 6) AS target_value,
              round({D_INT}, 6) AS delta, {verdict(D_INT, share('src', 'val'), '0.01', '100.0', 'lookup')} AS verdict,
@@ -447,7 +447,7 @@ ORACLES = {
       SELECT wb AS report_id, 'Lines!E' || n AS output_ref, 'does not exist in the workbook' AS problem FROM kinds WHERE k % 8 = 0
       UNION ALL SELECT 'wb-' || o_orderkey, NULL, 'no authoritative outputs designated' FROM orders
       WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
-    "ledger_lines": """SELECT CAST(o_custkey AS VARCHAR) AS report_id, 'REF-' || lpad(CAST(o_orderkey + 1 AS VARCHAR), greatest(4, length(CAST(o_orderkey + 1 AS VARCHAR))), '0') AS line_id,
+    "ledger_lines": """SELECT CAST(o_custkey AS VARCHAR) AS report_id, 'REF-' || lpad(CAST(o_orderkey + 1 AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey + 1 AS VARCHAR))) AS INTEGER), '0') AS line_id,
         o_orderstatus || '-account' AS account_number, o_orderpriority AS label, 'EUR' AS currency, 'Not supplied' AS ledger_source,
         CASE WHEN o_orderkey % 2 = 0 THEN 'debit' ELSE 'credit' END AS debit_credit, o_totalprice AS amount
       FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0

@@ -621,7 +621,11 @@ def _decisions(mappings: DataFrame) -> DataFrame:
 def _reviewed(spark: SparkSession, sf_dir: str):
     c, lines, mappings, _, both = _reconciled(spark, sf_dir)
     after, kept = review.apply_reviews(mappings, both, _decisions(mappings), lines)
-    return c, lines, cut(after), cut(kept)
+    thresholds = spark.createDataFrame(
+        [], "report_id string, check_type string, pct_threshold double, absolute_threshold double"
+    )
+    after = cut(after)
+    return c, lines, after, cut(review.evaluate_lines(kept, after, thresholds, final=True))
 
 
 @query
@@ -634,11 +638,7 @@ def reviewed_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reviewed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, after, kept = _reviewed(spark, sf_dir)
-    thresholds = spark.createDataFrame(
-        [], "report_id string, check_type string, pct_threshold double, absolute_threshold double"
-    )
-    final = review.evaluate_lines(kept, after, thresholds, final=True)
+    *_, final = _reviewed(spark, sf_dir)
     return rounded(
         final.filter("check_type = 'python_vs_accounts'").select(
             "report_id", "mapping_id", "label", "target_value", "delta", "verdict", "is_final"
