@@ -24,9 +24,13 @@ def normal_ref(ref: Column) -> Column:
 
 
 def col_number(letters: Column) -> Column:
-    """Column letters to the 1-based column number."""
-    return F.aggregate(
-        F.split(letters, ""), F.lit(0), lambda acc, ch: acc * 26 + F.ascii(ch) - 64
+    """Column letters (one to three) to the 1-based column number."""
+    size = F.length(letters)
+    digit = lambda i: F.ascii(F.substring(letters, i, 1)) - 64
+    return (
+        F.when(size == 1, digit(1))
+        .when(size == 2, digit(1) * 26 + digit(2))
+        .otherwise(digit(1) * 676 + digit(2) * 26 + digit(3))
     )
 
 
@@ -38,12 +42,16 @@ def col_letters(number: Column) -> Column:
     return F.concat(first, second, F.char(65 + (n - 1) % 26))
 
 
+def _letters(ref: Column) -> Column:
+    return F.rtrim(ref, F.lit("0123456789"))
+
+
 def ref_col(ref: Column) -> Column:
-    return col_number(F.regexp_extract(ref, r"^([A-Z]+)", 1))
+    return col_number(_letters(ref))
 
 
 def ref_row(ref: Column) -> Column:
-    return F.regexp_extract(ref, r"([0-9]+)$", 1).cast("int")
+    return F.substring(ref, F.length(_letters(ref)) + 1, F.lit(7)).cast("int")
 
 
 def a1(col: Column, row: Column) -> Column:
@@ -54,31 +62,27 @@ def node_key(tab: Column, ref: Column) -> Column:
     return F.concat(tab, F.lit("!"), ref)
 
 
-def formula_refs(formula: Column) -> Column:
-    """Array of ``(sheet, start, end)`` structs, in formula order.
-
-    String literals are blanked first. One regex pass takes the whole match; the
-    sheet is what stands before the last ``!`` and never occurs in the address.
-    """
-    matches = F.regexp_extract_all(
+def reference_texts(formula: Column) -> Column:
+    """Every reference in a formula as written, in order; string literals are blanked."""
+    return F.regexp_extract_all(
         F.regexp_replace(formula, STRING_LITERAL, '""'), F.lit(CELL_REFERENCE), F.lit(0)
     )
 
-    def parts(m: Column) -> Column:
-        address = F.substring_index(m, "!", -1)
-        sheet = F.when(
-            F.contains(m, F.lit("!")),
-            F.regexp_replace(
-                F.substring(m, F.lit(1), F.length(m) - F.length(address) - 1), "^'|'$", ""
-            ),
-        )
-        return F.struct(
-            sheet.alias("sheet"),
-            normal_ref(F.substring_index(address, ":", 1)).alias("start"),
-            F.when(F.contains(address, F.lit(":")), normal_ref(F.substring_index(address, ":", -1))).alias("end"),
-        )
-
-    return F.transform(matches, parts)
+
+def reference_parts(text: Column) -> tuple[Column, Column, Column]:
+    """(sheet, first, last) of one reference; sheet and last may be null.
+
+    The sheet is what stands before the last ``!``, which no address contains.
+    """
+    address = F.substring_index(text, "!", -1)
+    sheet = F.when(
+        F.contains(text, F.lit("!")),
+        F.regexp_replace(
+            F.substring(text, F.lit(1), F.length(text) - F.length(address) - 1), "^'|'$", ""
+        ),
+    )
+    last = F.when(F.contains(address, F.lit(":")), normal_ref(F.substring_index(address, ":", -1)))
+    return sheet, normal_ref(F.substring_index(address, ":", 1)), last
 
 
 def mentioned_tabs(formula: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.addresses import (
-    MAX_EXPANDED_AREA, a1, formula_refs, node_key, ref_col, ref_row,
+    MAX_EXPANDED_AREA, a1, node_key, ref_col, ref_row, reference_parts, reference_texts,
 )
 from ledgerloom.session import cut
 
@@ -20,15 +20,12 @@ ROW_BUCKET = 4096
 EDGE = ["workbook_id", "src", "dst"]
 
 
-def with_rectangle(refs: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Add c1..c2 and r1..r2 (sorted) and the area of a reference."""
-    last = F.coalesce(last, first)
+def with_rectangle(refs: DataFrame) -> DataFrame:
+    """Add c1..c2 and r1..r2 (sorted) and the area of ``start``:``end``."""
+    first, last = F.col("start"), F.coalesce("end", "start")
     return (
         refs.withColumns(
-            {
-                "_ca": ref_col(first), "_cb": ref_col(last),
-                "_ra": ref_row(first), "_rb": ref_row(last),
-            }
+            {"_ca": ref_col(first), "_cb": ref_col(last), "_ra": ref_row(first), "_rb": ref_row(last)}
         )
         .withColumns(
             {
@@ -45,7 +42,7 @@ def with_rectangle(refs: DataFrame, first: Column, last: Column) -> DataFrame:
 
 
 def references(cells: DataFrame, tabs: DataFrame | None = None) -> DataFrame:
-    """One row per reference in a formula, in order, with its rectangle.
+    """One row per reference in a formula, in order: start, end (ranges), dst_tab.
 
     ``tabs`` (workbook_id, tab_name, tab_key) is needed only where repeated tab
     names were given new keys; without it a sheet name is its own key.
@@ -54,9 +51,13 @@ def references(cells: DataFrame, tabs: DataFrame | None = None) -> DataFrame:
         "workbook_id",
         F.col("node").alias("src"),
         "tab_key",
-        F.posexplode(formula_refs(F.col("formula"))).alias("ref_no", "ref"),
+        F.posexplode(reference_texts(F.col("formula"))).alias("ref_no", "_text"),
+    )
+    sheet, first, last = reference_parts(F.col("_text"))
+    refs = refs.select(
+        "workbook_id", "src", "tab_key", "ref_no",
+        sheet.alias("sheet"), first.alias("start"), last.alias("end"),
     )
-    refs = refs.select("workbook_id", "src", "tab_key", "ref_no", "ref.*")
     if tabs is not None:
         keys = tabs.groupBy("workbook_id", F.col("tab_name").alias("sheet")).agg(
             F.max_by("tab_key", "tab_index").alias("_key")
@@ -64,26 +65,32 @@ def references(cells: DataFrame, tabs: DataFrame | None = None) -> DataFrame:
         refs = refs.join(keys, ["workbook_id", "sheet"], "left").withColumn(
             "sheet", F.coalesce("_key", "sheet")
         ).drop("_key")
-    refs = refs.withColumn("dst_tab", F.coalesce("sheet", "tab_key"))
-    return with_rectangle(refs, F.col("start"), F.col("end")).drop("sheet", "tab_key")
+    return refs.withColumn("dst_tab", F.coalesce("sheet", "tab_key")).drop("sheet", "tab_key")
 
 
-def expand(refs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Reference rows to one row per referenced cell (``dst``).
+def expand(refs: DataFrame, ranges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Reference rows to one row per referenced cell: ``dst`` and its ``pos``.
 
-    Rectangles up to the expansion limit list every address, blank or not, column
-    by column. Larger ones meet the cells that exist inside them through an
-    equi-join on row buckets; their blank cells add nothing to any sum.
+    A single cell needs no arithmetic. Rectangles up to the expansion limit list
+    every address, blank or not, column by column. Larger ones meet the cells that
+    exist inside them through an equi-join on row buckets; their blank cells add
+    nothing to any sum. ``ranges`` holds at least the range rows of ``refs``, from
+    a source that may be cheaper to read.
     """
+    single = refs.filter("end is null").withColumns(
+        {"dst": node_key(F.col("dst_tab"), F.col("start")), "pos": F.lit(0).cast("bigint")}
+    )
+    boxes = with_rectangle(ranges.filter("end is not null"))
+    height = F.col("r2") - F.col("r1") + 1
     small = (
-        refs.filter(F.col("area") <= MAX_EXPANDED_AREA)
-        .withColumn("_c", F.explode(F.sequence("c1", "c2")))
-        .withColumn("_r", F.explode(F.sequence("r1", "r2")))
-        .withColumn("dst", node_key(F.col("dst_tab"), a1(F.col("_c"), F.col("_r"))))
+        boxes.filter(F.col("area") <= MAX_EXPANDED_AREA)
+        .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("area") - 1)))
         .withColumn(
-            "pos",
-            (F.col("_c") - F.col("c1")).cast("bigint") * (F.col("r2") - F.col("r1") + 1)
-            + F.col("_r") - F.col("r1"),
+            "dst",
+            node_key(
+                F.col("dst_tab"),
+                a1(F.col("c1") + F.floor(F.col("pos") / height), F.col("r1") + F.col("pos") % height),
+            ),
         )
     )
     there = cells.select(
@@ -95,7 +102,7 @@ def expand(refs: DataFrame, cells: DataFrame) -> DataFrame:
         F.col("node").alias("dst"),
     )
     large = (
-        refs.filter(F.col("area") > MAX_EXPANDED_AREA)
+        boxes.filter(F.col("area") > MAX_EXPANDED_AREA)
         .withColumn(
             "_bucket",
             F.explode(F.sequence(F.floor(F.col("r1") / ROW_BUCKET), F.floor(F.col("r2") / ROW_BUCKET))),
@@ -103,23 +110,31 @@ def expand(refs: DataFrame, cells: DataFrame) -> DataFrame:
         .join(there, ["workbook_id", "dst_tab", "_bucket"])
         .filter("_c between c1 and c2 and _r between r1 and r2")
         .withColumn(
-            "pos",
-            (F.col("_c") - F.col("c1")).cast("bigint") * (F.col("r2") - F.col("r1") + 1)
-            + F.col("_r") - F.col("r1"),
+            "pos", (F.col("_c") - F.col("c1")).cast("bigint") * height + F.col("_r") - F.col("r1")
         )
-        .drop("_bucket")
+        .drop("_bucket", "_c", "_r")
+    )
+    return (
+        single.unionByName(small.drop("c1", "c2", "r1", "r2", "area"))
+        .unionByName(large.drop("c1", "c2", "r1", "r2", "area"))
+        .drop("dst_tab", "start", "end")
     )
-    return small.unionByName(large).drop("_c", "_r", "c1", "c2", "r1", "r2", "area", "dst_tab")
 
 
 def cell_edges(cells: DataFrame, tabs: DataFrame | None = None) -> DataFrame:
     """Formula cell to each cell it refers to, without repeats."""
-    return expand(references(cells, tabs), cells).select(*EDGE).distinct()
+    with_range = cells.filter(F.contains("formula", F.lit(":")))
+    return (
+        expand(references(cells, tabs), references(with_range, tabs), cells)
+        .select(*EDGE).distinct()
+    )
 
 
 def oversized_ranges(cells: DataFrame) -> DataFrame:
     """Ranges above the expansion limit; they are joined by bucket, not listed."""
-    return references(cells).filter(F.col("area") > MAX_EXPANDED_AREA)
+    return with_rectangle(references(cells).filter("end is not null")).filter(
+        F.col("area") > MAX_EXPANDED_AREA
+    )
 
 
 def reach(roots: DataFrame, edges: DataFrame) -> DataFrame:

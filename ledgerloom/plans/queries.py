@@ -296,7 +296,7 @@ def tab_name_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = graph.references(order_corpus(spark, sf_dir).cells)
+    refs = graph.with_rectangle(graph.references(order_corpus(spark, sf_dir).cells))
     return refs.groupBy("workbook_id", "src").agg(
         F.count(F.lit(1)).alias("refs"), F.count("end").alias("ranges"), F.sum("area").alias("area"),
         F.count_if(F.col("dst_tab") != F.substring_index("src", "!", 1)).alias("other_tab"),
@@ -445,14 +445,12 @@ def skipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def circular_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = order_corpus(spark, sf_dir)
-    edges = cut(graph.cell_edges(c.cells))
+    c, edges = _graph(spark, sf_dir)
     return detect.circular_references(edges, c.tabs).select("workbook_id", "tab_key", "cell_ref", "description")
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = order_corpus(spark, sf_dir)
-    edges = cut(graph.cell_edges(c.cells))
+    c, edges = _graph(spark, sf_dir)
     return detect.all_findings(c.cells, edges, c.named_ranges, c.tabs)
 
 
@@ -465,8 +463,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def finding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = order_corpus(spark, sf_dir)
-    edges = cut(graph.cell_edges(c.cells))
+    c, edges = _graph(spark, sf_dir)
     found = detect.all_findings(c.cells, edges, c.named_ranges, c.tabs)
     return trace.finding_cells(found, c.cells, edges).select("workbook_id", "finding_id", "node", "depends_on")
 
@@ -501,9 +498,16 @@ def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- rebuild and reconciliation ----------------------------------------------
 
 
-def _rebuilt(spark: SparkSession, sf_dir: str):
+def _graph(spark: SparkSession, sf_dir: str):
+    """The corpus with its cell table and edges written once, as later steps read
+    them several times."""
     c = order_corpus(spark, sf_dir)
-    edges = cut(graph.cell_edges(c.cells))
+    c.cells = cut(c.cells.repartition("workbook_id", "node"))
+    return c, cut(graph.cell_edges(c.cells))
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str):
+    c, edges = _graph(spark, sf_dir)
     return c, edges, rebuild.rebuild(c.cells, edges, c.outputs)
 
 
@@ -877,8 +881,7 @@ def disclosure_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def workbook_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the Summary and Rates tabs of every order workbook."""
-    c = order_corpus(spark, sf_dir)
-    edges = cut(graph.cell_edges(c.cells))
+    c, edges = _graph(spark, sf_dir)
     requests = c.tabs.filter("tab_key != 'Lines'").select("workbook_id", "tab_key")
     scope = disclosure.cells_in_scope(requests, c.cells, edges, c.outputs)
     found = disclosure.manifest(requests, c.cells, scope, c.outputs, c.named_ranges)
