@@ -289,6 +289,21 @@ ORACLES = {
       SELECT wb AS workbook_id, CAST(4 * n + 6 + CASE WHEN ring THEN 2 ELSE 0 END AS BIGINT) AS cells,
              CAST(n + 2 + CASE WHEN ring THEN 2 ELSE 0 END AS BIGINT) AS formulas,
              CAST(n + 2 AS BIGINT) AS texts, n + 1 AS last_row FROM kinds""",
+    "workbook_ingest": f"""WITH {VALUES}
+      SELECT wb AS file, 'Lines!A' || rn AS node, CAST(NULL AS VARCHAR) AS formula, 'text' AS data_type, CAST(NULL AS DOUBLE) AS value_num FROM kinds JOIN lines USING (k)
+      UNION ALL SELECT wb, 'Lines!B' || rn, NULL, 'number', price FROM kinds JOIN lines USING (k)
+      UNION ALL SELECT wb, 'Lines!C' || rn, NULL, 'number', discount FROM kinds JOIN lines USING (k)
+      UNION ALL SELECT wb, 'Lines!D' || rn, CASE WHEN nets.returned THEN '=B' || rn || '*0.95' ELSE '=B' || rn || '*(1-C' || rn || ')' END,
+                       'number', round(net, 6) FROM kinds JOIN nets USING (k)
+      UNION ALL SELECT wb, 'Lines!A' || (n + 1), NULL, 'text', NULL FROM kinds
+      UNION ALL SELECT wb, 'Lines!B' || (n + 1), CASE WHEN lookup THEN '=VLOOKUP(A1,A1:D' || n || ',4)' WHEN skips THEN '=SUM(D1:D1,D3:D' || n || ')'
+                       ELSE '=SUM(D1:D' || n || ')' END, 'number', total FROM kinds
+      UNION ALL SELECT wb, 'Summary!A1', NULL, 'text', NULL FROM kinds
+      UNION ALL SELECT wb, 'Summary!B1', '=Lines!B' || (n + 1) || '*Rates!A1', 'number', round(total * 1.1, 6) FROM kinds
+      UNION ALL SELECT wb, 'Summary!C1', '=Summary!D1+1', 'number', 0 FROM kinds WHERE ring
+      UNION ALL SELECT wb, 'Summary!D1', '=C1-1', 'number', 0 FROM kinds WHERE ring
+      UNION ALL SELECT wb, 'Rates!A1', NULL, 'number', 1.1 FROM kinds
+      UNION ALL SELECT wb, 'Rates!A2', NULL, 'number', CASE WHEN k % 3 = 0 THEN 1.2 ELSE 1.1 END FROM kinds""",
     "cell_classification": f"""WITH {EVENT_CELLS}
       SELECT workbook_id, node, formula,
              CASE WHEN k = 0 THEN 'blank' WHEN k IN (1, 2, 3) THEN 'number' WHEN k = 4 THEN 'boolean' WHEN k = 5 THEN 'date'
@@ -501,6 +516,15 @@ ORACLES = {
     "names_for_tabs": f"""WITH {ROWS} SELECT wb AS workbook_id, t AS tab_key, m AS name FROM kinds,
       (VALUES ('Lines', 'rate'), ('Lines', 'first_item'), ('Summary', 'rate'), ('Rates', 'rate'), ('Rates', 'rate')) v(t, m)""",
     "log_append": chained("report_id") + "SELECT report_id, row_id, payload_hash, prev_row_hash, row_hash FROM chain_rows",
+    "log_append_single_chain": chained("0") + "SELECT row_id, prev_row_hash, row_hash FROM chain_rows",
+    "gate_events": f"""WITH {EVENT_FINDINGS}, {CASES},
+      ctx AS (SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'not_checked' WHEN c_nationkey % 7 = 0 THEN 'mismatch' ELSE 'match' END AS m, c_custkey FROM customer),
+      acts AS (SELECT DISTINCT report_id, mapping_id, many, action, target FROM ruled WHERE m IS NOT NULL)
+      SELECT 'gate_decision' AS event_type, '1' AS gate, 'context_confirmed' AS action, m AS context_match, count(*) AS events, count(*) AS reports FROM ctx GROUP BY m
+      UNION ALL SELECT 'gate_decision', '2', 'findings_reviewed_and_outputs_designated', '-', sum(parts)::BIGINT, count(*)
+        FROM (SELECT report_id, (count(*) + 999) // 1000 AS parts FROM found WHERE decision IS NOT NULL GROUP BY 1)
+      UNION ALL SELECT 'mapping_decision', '-', CASE WHEN many THEN 'acknowledged_manual_reconciliation' WHEN action = 'approve' THEN 'approved'
+          WHEN action = 'reject' THEN 'rejected' ELSE 'replaced_with_human_direct_mapping' END, '-', count(*), count(DISTINCT report_id) FROM acts GROUP BY 3""",
     "log_verification": f"""WITH {EVENT_LOG},
       linked AS (SELECT *, lag(row_id) OVER (PARTITION BY report_id ORDER BY row_id) AS before FROM log)
       SELECT report_id, row_id, CASE WHEN row_id % 97 = 0 THEN 'payload' ELSE 'link' END AS problem FROM linked

@@ -14,10 +14,11 @@ from ledgerloom.operators import detect, disclosure, events, evidence, graph, ma
 from ledgerloom.operators import review, trace
 from ledgerloom.operators.numbering import numbered
 from ledgerloom.session import cut
-from ledgerloom.sources import ledger
+from ledgerloom.sources import ledger, workbooks
 from ledgerloom.sources.corpus import (
-    order_corpus, order_heads, order_ledger, order_rows, table, workbook_key,
+    order_corpus, order_heads, order_ledger, table, workbook_key,
 )
+from ledgerloom.sources.samples import workbook_files
 
 QUERIES = {}
 
@@ -235,6 +236,18 @@ def corpus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def workbook_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an .xlsx file, read back into cells."""
+    files = cut(workbook_files(order_corpus(spark, sf_dir).cells))
+    raw = cut(workbooks.raw_rows(files))
+    names = files.select(
+        F.sha2("content", 256).alias("workbook_id"), F.substring_index("path", ".", 1).alias("file")
+    )
+    found = workbooks.cells(raw).join(names, "workbook_id")
+    return rounded(found.select("file", "node", "formula", "data_type", "value_num"), 6, "value_num")
+
+
 def _event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events as raw cells of one workbook per user, with every kind of content."""
     e = table(spark, sf_dir, "events")
