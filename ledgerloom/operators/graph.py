@@ -17,6 +17,7 @@ from ledgerloom.functions.addresses import (
 from ledgerloom.session import cut
 
 ROW_BUCKET = 4096
+BROADCAST_ROWS = 50_000
 EDGE = ["workbook_id", "src", "dst"]
 
 
@@ -93,32 +94,36 @@ def expand(refs: DataFrame, ranges: DataFrame, cells: DataFrame) -> DataFrame:
             ),
         )
     )
-    there = cells.select(
-        "workbook_id",
-        F.col("tab_key").alias("dst_tab"),
-        F.floor(F.col("row") / ROW_BUCKET).alias("_bucket"),
-        F.col("col").alias("_c"),
-        F.col("row").alias("_r"),
-        F.col("node").alias("dst"),
-    )
-    large = (
+    found = single.unionByName(small.drop("c1", "c2", "r1", "r2", "area"))
+    wide = cut(
         boxes.filter(F.col("area") > MAX_EXPANDED_AREA)
         .withColumn(
             "_bucket",
             F.explode(F.sequence(F.floor(F.col("r1") / ROW_BUCKET), F.floor(F.col("r2") / ROW_BUCKET))),
         )
-        .join(there, ["workbook_id", "dst_tab", "_bucket"])
-        .filter("_c between c1 and c2 and _r between r1 and r2")
-        .withColumn(
-            "pos", (F.col("_c") - F.col("c1")).cast("bigint") * height + F.col("_r") - F.col("r1")
-        )
-        .drop("_bucket", "_c", "_r")
-    )
-    return (
-        single.unionByName(small.drop("c1", "c2", "r1", "r2", "area"))
-        .unionByName(large.drop("c1", "c2", "r1", "r2", "area"))
-        .drop("dst_tab", "start", "end")
     )
+    rows = wide.count()
+    if rows:
+        there = cells.select(
+            "workbook_id",
+            F.col("tab_key").alias("dst_tab"),
+            F.floor(F.col("row") / ROW_BUCKET).alias("_bucket"),
+            F.col("col").alias("_c"),
+            F.col("row").alias("_r"),
+            F.col("node").alias("dst"),
+        )
+        # Rare as they are, large ranges usually fit a broadcast; counted first, and
+        # joined by shuffle where they do not.
+        wide = F.broadcast(wide) if rows <= BROADCAST_ROWS else wide
+        found = found.unionByName(
+            there.join(wide, ["workbook_id", "dst_tab", "_bucket"])
+            .filter("_c between c1 and c2 and _r between r1 and r2")
+            .withColumn(
+                "pos", (F.col("_c") - F.col("c1")).cast("bigint") * height + F.col("_r") - F.col("r1")
+            )
+            .drop("_bucket", "_c", "_r", "c1", "c2", "r1", "r2", "area")
+        )
+    return found.drop("dst_tab", "start", "end")
 
 
 def cell_edges(cells: DataFrame, tabs: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("total"),
         F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
-    ).join(counts, "orderkey")
+    ).repartition("orderkey").join(counts, "orderkey")
 
 
 def workbook_key(orderkey: Column) -> Column:
