@@ -1,0 +1,168 @@
+"""Finishing deep graphs.
+
+Loops over the graph take one round per level. Most workbooks are done after a
+few; a running balance over thousands of rows is not. After ``ROUNDS`` rounds, a
+workbook whose remaining work is counted and found small (``GROUP_ROWS``) is
+finished in one grouped step; any larger one stays in the distributed loop. Both
+ways give the same rows.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict, deque
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+ROUNDS = 12
+GROUP_ROWS = 500_000
+FOLD_WIDTH = 4096
+
+
+def small_books(*tables: DataFrame) -> DataFrame:
+    """Workbooks of the first table in which no table holds more than the limit."""
+    book = None
+    for t in tables:
+        n = t.groupBy("workbook_id").agg(F.count(F.lit(1)).alias("_n"))
+        if book is None:
+            book = n.filter(F.col("_n") <= GROUP_ROWS).select("workbook_id")
+        else:
+            book = book.join(n.filter(F.col("_n") > GROUP_ROWS), "workbook_id", "left_anti")
+    return book
+
+
+def peel(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without way in or way out are taken off one by one."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out, back = defaultdict(set), defaultdict(set)
+        for a, b in zip(rows["src"], rows["dst"]):
+            out[a].add(b)
+            back[b].add(a)
+        nodes = set(out) | set(back)
+        queue = deque(n for n in nodes if not out[n] or not back[n])
+        gone = set(queue)
+        while queue:
+            n = queue.popleft()
+            for m in out.pop(n, ()):
+                back[m].discard(n)
+                if not back[m] and m not in gone:
+                    gone.add(m)
+                    queue.append(m)
+            for m in back.pop(n, ()):
+                out[m].discard(n)
+                if not out[m] and m not in gone:
+                    gone.add(m)
+                    queue.append(m)
+        return rows[~rows["src"].isin(gone) & ~rows["dst"].isin(gone)]
+
+    return edges.groupBy("workbook_id").applyInPandas(one, edges.schema)
+
+
+def walk(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(workbook_id, root, node, depth) of everything reachable, breadth first."""
+
+    def one(begin: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        out = defaultdict(list)
+        for a, b in zip(links["src"], links["dst"]):
+            out[a].append(b)
+        rows = []
+        for root, own in begin.groupby("root"):
+            depth = {n: 0 for n in own["node"]}
+            queue = deque(depth)
+            while queue:
+                n = queue.popleft()
+                for m in out.get(n, ()):
+                    if m not in depth:
+                        depth[m] = depth[n] + 1
+                        queue.append(m)
+            rows += [(root, n, d) for n, d in depth.items()]
+        frame = pd.DataFrame(rows, columns=["root", "node", "depth"])
+        frame.insert(0, "workbook_id", begin["workbook_id"].iloc[0] if len(begin) else None)
+        return frame
+
+    edges = edges.toDF(*edges.columns)  # fresh columns: both sides share their origin
+    return (
+        starts.groupBy("workbook_id").cogroup(edges.groupBy("workbook_id"))
+        .applyInPandas(one, "workbook_id string, root string, node string, depth int")
+    )
+
+
+def _run(tokens, values: dict[int, float]) -> float | None:
+    """Value of postfix tokens; null after a division by zero."""
+    stack: list[float] = []
+    for t in tokens:
+        op = t["op"]
+        if op == "n":
+            stack.append(t["num"])
+        elif op == "v":
+            stack.append(values[int(t["arg"])])
+        elif op == "neg":
+            stack.append(-stack.pop())
+        else:
+            b, a = stack.pop(), stack.pop()
+            if op == "/" and b == 0:
+                return None
+            stack.append(a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else a / b)
+    return stack[-1]
+
+
+def _sum(cells: list[tuple[int, float]]) -> float:
+    """In position order, stretch by stretch, as the distributed sum does it."""
+    total = part = 0.0
+    stretch = None
+    for at, value in sorted(cells):
+        if at // FOLD_WIDTH != stretch:
+            total, part, stretch = total + part, 0.0, at // FOLD_WIDTH
+        part += value
+    return total + part
+
+
+def compute(todo: DataFrame, read: DataFrame) -> DataFrame:
+    """Values of all formulas of each workbook.
+
+    ``todo``: workbook_id, node, tokens. ``read``: workbook_id, node, arg, is_sum,
+    at, dst, value, is_known; ``value`` counts where it is known, else ``dst`` is
+    in ``todo``, too.
+    """
+
+    def one(formulas: pd.DataFrame, reads: pd.DataFrame) -> pd.DataFrame:
+        tokens = dict(zip(formulas["node"], formulas["tokens"]))
+        inputs = defaultdict(list)
+        waits, users = defaultdict(set), defaultdict(set)
+        for r in reads.itertuples(index=False):
+            inputs[r.node].append(r)
+            if not r.is_known:
+                waits[r.node].add(r.dst)
+                users[r.dst].add(r.node)
+        values: dict[str, float | None] = {}
+        queue = deque(n for n in tokens if not waits[n])
+        while queue:
+            node = queue.popleft()
+            singles, sums, whole = {}, defaultdict(list), tokens[node] is not None
+            for r in inputs[node]:
+                value = r.value if r.is_known else values[r.dst]
+                if value is None or pd.isna(value):
+                    whole = False
+                elif r.is_sum:
+                    sums[r.arg].append((r.at, value))
+                else:
+                    singles[r.arg] = value
+            args = singles | {a: _sum(c) for a, c in sums.items()}
+            values[node] = _run(tokens[node], args) if whole else None
+            for user in users[node]:
+                waits[user].discard(node)
+                if not waits[user]:
+                    queue.append(user)
+        return pd.DataFrame(
+            {
+                "workbook_id": [formulas["workbook_id"].iloc[0]] * len(values) if len(formulas) else [],
+                "node": list(values), "value": pd.array(list(values.values()), dtype="Float64"),
+            }
+        )
+
+    read = read.toDF(*read.columns)  # fresh columns: both sides share their origin
+    return (
+        todo.groupBy("workbook_id").cogroup(read.groupBy("workbook_id"))
+        .applyInPandas(one, "workbook_id string, node string, value double")
+    )

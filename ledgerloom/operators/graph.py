@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.addresses import (
     MAX_EXPANDED_AREA, a1, node_key, ref_col, ref_row, reference_parts, reference_texts,
 )
+from ledgerloom.operators import deep
 from ledgerloom.session import cut
 
 ROW_BUCKET = 4096
@@ -156,7 +157,7 @@ def reach_from(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(*EDGE)
     front = cut(starts.select("workbook_id", "root", "node").distinct().withColumn("depth", F.lit(0)))
-    parts = [front]
+    parts, begin, rounds = [front], front, 0
     while True:
         seen = reduce(DataFrame.unionByName, parts)
         step = (
@@ -169,11 +170,35 @@ def reach_from(starts: DataFrame, edges: DataFrame) -> DataFrame:
         if front.isEmpty():
             return seen
         parts.append(front)
+        rounds += 1
+        if rounds == deep.ROUNDS:
+            seen, front = _walk_small(reduce(DataFrame.unionByName, parts), front, begin, edges)
+            parts = [seen]
+
+
+def _walk_small(
+    seen: DataFrame, front: DataFrame, begin: DataFrame, edges: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Finish the sets still growing whose workbooks are small; keep the others going."""
+    pair = ["workbook_id", "root"]
+    growing = front.select(*pair).distinct()
+    roots = growing.groupBy("workbook_id").agg(F.count(F.lit(1)).alias("_roots"))
+    work = edges.join(roots, "workbook_id").groupBy("workbook_id", "_roots").agg(
+        F.count(F.lit(1)).alias("_edges")
+    )
+    small = cut(work.filter(F.col("_roots") * F.col("_edges") <= deep.GROUP_ROWS).select("workbook_id"))
+    redo = growing.join(small, "workbook_id", "left_semi")
+    done = deep.walk(
+        begin.join(redo, pair, "left_semi").select(*pair, "node"),
+        edges.join(small, "workbook_id", "left_semi"),
+    )
+    kept = seen.join(redo, pair, "left_anti").unionByName(done)
+    return cut(kept), cut(front.join(redo, pair, "left_anti"))
 
 
 def _core(edges: DataFrame) -> DataFrame:
     """Drop edges at nodes without way in or way out until none is left to drop."""
-    size = edges.count()
+    size, rounds, finished = edges.count(), 0, None
     while size:
         heads = edges.select("workbook_id", F.col("src").alias("dst")).distinct()
         tails = edges.select("workbook_id", F.col("dst").alias("src")).distinct()
@@ -186,7 +211,13 @@ def _core(edges: DataFrame) -> DataFrame:
         if left == size:
             break
         size = left
-    return edges
+        rounds += 1
+        if rounds == deep.ROUNDS and size:
+            small = cut(deep.small_books(edges))
+            finished = cut(deep.peel(edges.join(small, "workbook_id", "left_semi").select(*EDGE)))
+            edges = cut(edges.join(small, "workbook_id", "left_anti"))
+            size = edges.count()
+    return edges if finished is None else edges.select(*EDGE).unionByName(finished)
 
 
 def components(edges: DataFrame) -> DataFrame:

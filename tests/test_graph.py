@@ -63,3 +63,19 @@ def test_no_cycle(spark):
     edges = edge_table(spark, [("a", "b"), ("b", "c"), ("a", "c")])
     rings = graph.components(edges)
     assert rings.isEmpty() and graph.elementary_cycles(edges, rings).isEmpty()
+
+
+def test_deep_graph_ends_alike(spark, monkeypatch):
+    from ledgerloom.operators import deep
+
+    pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(24)] + [("n24", "n22"), ("n05", "n20")]
+    edges = edge_table(spark, pairs)
+    roots = spark.createDataFrame([("w", "n00"), ("w", "n10")], "workbook_id string, root string")
+    seen = []
+    for rounds, rows in ((2, 500_000), (2, 1), (99, 0)):
+        monkeypatch.setattr(deep, "ROUNDS", rounds)
+        monkeypatch.setattr(deep, "GROUP_ROWS", rows)
+        rings = {(r.node, r.ring) for r in graph.components(edges).collect()}
+        seen.append((rings, {tuple(r) for r in graph.reach(roots, edges).collect()}))
+    assert seen[0] == seen[1] == seen[2]
+    assert {n for n, _ in seen[0][0]} == {"n22", "n23", "n24"}
