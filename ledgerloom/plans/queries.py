@@ -318,7 +318,7 @@ def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cell_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cell_edges(order_corpus(spark, sf_dir).cells)
+    return graph.cell_edges(_stored(order_corpus(spark, sf_dir)).cells)
 
 
 @query
@@ -511,11 +511,15 @@ def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- rebuild and reconciliation ----------------------------------------------
 
 
+def _stored(c):
+    c.cells = cut(c.cells.repartition("workbook_id", "node"))
+    return c
+
+
 def _graph(spark: SparkSession, sf_dir: str):
     """The corpus with its cell table and edges written once, as later steps read
     them several times."""
-    c = order_corpus(spark, sf_dir)
-    c.cells = cut(c.cells.repartition("workbook_id", "node"))
+    c = _stored(order_corpus(spark, sf_dir))
     return c, cut(graph.cell_edges(c.cells))
 
 

@@ -65,6 +65,11 @@ def workbook_key(orderkey: Column) -> Column:
     return F.concat(F.lit("wb-"), orderkey.cast("string"))
 
 
+def _text(*parts) -> Column:
+    """Parts put together as text; columns become their decimal text."""
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
 def _cell(tab: int, col: int, row: Column, formula=None, num=None, text=None) -> Column:
     as_text = lambda v: F.lit(v).cast("string") if not isinstance(v, Column) else v
     return F.struct(
@@ -80,8 +85,8 @@ def _cell(tab: int, col: int, row: Column, formula=None, num=None, text=None) ->
 def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     rows, heads = order_rows(spark, sf_dir), order_heads(spark, sf_dir)
     rn = F.col("rn")
-    net = F.when(F.col("returned"), F.format_string("=B%d*0.95", rn)).otherwise(
-        F.format_string("=B%d*(1-C%d)", rn, rn)
+    net = F.when(F.col("returned"), _text("=B", rn, "*0.95")).otherwise(
+        _text("=B", rn, "*(1-C", rn, ")")
     )
     net_value = F.when(F.col("returned"), F.col("price") * 0.95).otherwise(
         F.col("price") * (1 - F.col("discount"))
@@ -99,12 +104,12 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     )
     n, below = F.col("n"), F.col("n") + 1
     total = (
-        F.when(F.col("priority") == "5-LOW", F.format_string("=VLOOKUP(A1,A1:D%d,4)", n))
+        F.when(F.col("priority") == "5-LOW", _text("=VLOOKUP(A1,A1:D", n, ",4)"))
         .when(
             (F.col("priority") == "1-URGENT") & (n >= 3),
-            F.format_string("=SUM(D1:D1,D3:D%d)", n),
+            _text("=SUM(D1:D1,D3:D", n, ")"),
         )
-        .otherwise(F.format_string("=SUM(D1:D%d)", n))
+        .otherwise(_text("=SUM(D1:D", n, ")"))
     )
     one = F.lit(1)
     head_cells = heads.select(
@@ -115,7 +120,7 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
                     _cell(0, 1, below, text="Order total:"),
                     _cell(0, 2, below, formula=total, num=F.col("total")),
                     _cell(1, 1, one, text="Net of charge:"),
-                    _cell(1, 2, one, formula=F.format_string("=Lines!B%d*Rates!A1", below), num=F.col("total") * 1.1),
+                    _cell(1, 2, one, formula=_text("=Lines!B", below, "*Rates!A1"), num=F.col("total") * 1.1),
                     F.when(F.col("status") == "P", _cell(1, 3, one, formula="=Summary!D1+1", num=0.0)),
                     F.when(F.col("status") == "P", _cell(1, 4, one, formula="=C1-1", num=0.0)),
                     _cell(2, 1, one, num=1.1),
@@ -163,7 +168,7 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     outputs = ids.select(
         F.col("workbook_id").alias("report_id"), "workbook_id",
         F.posexplode(
-            F.array(F.format_string("Lines!B%d", F.col("n") + 1), F.lit("Summary!B1"))
+            F.array(_text("Lines!B", F.col("n") + 1), F.lit("Summary!B1"))
         ).alias("output_pos", "output_ref"),
     )
     workbooks = ids.select("workbook_id", F.lit("automatic").alias("calc_mode"))
