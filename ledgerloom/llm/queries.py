@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import mixing
-from ledgerloom.llm.shared import table
+from ledgerloom.llm import chat, lines, mixing
+from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,3 +23,41 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_mixing"] = mixing.MIXED_SQL
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted windows.
+
+    A digest is over one conversation's whole text, so one row of text per
+    conversation is put together here; the windows themselves never are.
+    """
+    own = spark.createDataFrame(
+        [(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))],
+        "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    made = stored(chat.windows(rows))
+    turns = F.slice(chat.parsed(F.col("formatted")), F.col("n_repeated") + 1, F.col("n_new"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(chat.targets(F.col("formatted"), F.col("loss")), "")
+    read = made.select(
+        "conv_id", F.size(turns).alias("n"), F.length("formatted").alias("chars"),
+        F.struct("first_turn", said.alias("said"), learned.alias("learned")).alias("part"))
+    whole = read.groupBy("conv_id").agg(
+        F.sum("n").cast("bigint").alias("n_turns"), F.sum("chars").cast("bigint").alias("formatted_chars"),
+        F.sort_array(F.collect_list("part")).alias("parts"))
+    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"),
+        F.length(joined("learned")).cast("bigint").alias("loss_chars"),
+        F.sha2(joined("learned"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occurred before."""
+    return lines.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op10_lines"] = lines.LINES_SQL
