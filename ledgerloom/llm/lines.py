@@ -6,104 +6,103 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm.shared import stored
 
-#: A line ends at a line break or a sentence end, with the blanks after it.
-LINE = r"[^.!?\n]+(?:[.!?\n]+ *)?|[.!?\n]+ *"
+#: A line ends at a line break or a sentence end, with the blanks after it; blanks
+#: and ends before the first line are a piece of their own.
+PIECE = r"[.!?\s]+|[^.!?\n]+[.!?\s]*"
+ENDS = ".!?"
 BLANK = " \t\n\r\x0b\f"
 LAST = (1 << 63) - 1
 
 
-def _lines(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(0))
+def _hashes(text: Column) -> Column:
+    """Hashes of the lines that hold anything, without their ends and outer blanks."""
+    plain = F.coalesce(text, F.lit(""))
+    for end in ENDS:
+        plain = F.replace(plain, F.lit(end), F.lit("\n"))
+    told = F.transform(F.split(plain, "\n"), lambda line: F.xxhash64(F.btrim(line, F.lit(BLANK))))
+    return F.filter(told, lambda h: h != F.xxhash64(F.lit("")))
 
 
-def _windows(text: Column) -> Column:
-    """Hash, first and last line number of each three consecutive lines that aren't blank."""
-    told = F.filter(
-        F.transform(_lines(text), lambda line, at: F.struct(
-            at.alias("at"), F.btrim(line, F.lit(BLANK)).alias("line"))),
-        lambda x: x["line"] != "",
-    )
-    told = F.transform(told, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash")))
-    # three arrays side by side, each one line further on
-    ahead = lambda n: F.slice(told, n + 1, F.greatest(F.size(told) - 2, F.lit(0)))
-    return F.transform(
+def _windows(hashes: Column) -> Column:
+    """Hash and place of each three consecutive lines; whether the document had it before."""
+    ahead = lambda n: F.slice(hashes, n + 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
+    made = F.array_sort(F.transform(
         F.arrays_zip(ahead(0).alias("a"), ahead(1).alias("b"), ahead(2).alias("c")),
+        lambda x, at: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("window"), at.alias("place"))))
+    before = F.concat(F.array(F.lit(None).cast("bigint")), made["window"])
+    return F.transform(
+        F.arrays_zip(made.alias("own"), F.slice(before, 1, F.size(made)).alias("last")),
         lambda x: F.struct(
-            F.xxhash64(x["a"]["hash"], x["b"]["hash"], x["c"]["hash"]).alias("window"),
-            x["a"]["at"].alias("first"), x["c"]["at"].alias("last")),
-    )
+            x["own"]["window"].alias("window"), x["own"]["place"].alias("place"),
+            x["own"]["window"].eqNullSafe(x["last"]).alias("again")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; adds n_lines, n_removed.
 
-    A passage is any three consecutive lines (blank ones don't count, but go with
-    the passage around them). Its first occurrence by doc_id (null last), then by
-    place, stays; the lines of every later one go, overlapping ones together,
-    also inside one document. Lines are compared without blanks at their ends, as
-    64-bit hashes.
+    A passage is any three consecutive lines. Its first occurrence by doc_id (null
+    last), then by place, stays; the lines of every later one go, overlapping ones
+    together, also inside one document. Lines hold more than blanks and are compared
+    without the blanks and sentence ends around them, as 64-bit hashes; a line goes
+    with the ends and blanks that follow it.
 
-    Null and empty texts have no lines; a null text stays null. Rows that share
-    doc_id and text count as one document, and each gets its result. Columns
-    named n_lines or n_removed are replaced.
+    Null and empty texts have no lines; a null text stays null. Rows that share a
+    doc_id are versions of one document: none loses a passage to another, and equal
+    ones get equal results. Columns named n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     docs = docs.select(*rest, "text").withColumn("_tag", F.hash("text"))
+    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     found = stored(
-        docs.select(
-            F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_doc"), "_tag",
-            F.inline(_windows(F.col("text"))))
-    )
+        docs.select(order.alias("_doc"), "_tag", _hashes(F.col("text")).alias("_hashes"))
+        .select("_doc", "_tag", F.inline(_windows(F.col("_hashes")))))
+    once = found.filter("NOT again")
     known = (
-        found.groupBy(F.col("window").alias("_window"))
+        once.groupBy(F.col("window").alias("_window"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("_from"))
         .filter("_n > 1")
     )
-    again = found.join(known, F.col("window") == F.col("_window"))
-    # what lies in the first document itself: few rows a window, all of one document
-    inner = again.filter("_doc = _from").groupBy(F.col("window").alias("_window")).agg(
-        F.min(F.struct("_tag", "first")).alias("_place"))
-    inside = again.filter("_doc = _from").drop("_window").join(inner, F.col("window") == F.col("_window")).filter(
-        F.struct("_tag", "first") > F.col("_place"))
-    spans = (
-        again.filter("_doc > _from").select("_doc", "_tag", "first", "last")
-        .unionByName(inside.select("_doc", "_tag", "first", "last"))
+    later = once.join(known, F.col("window") == F.col("_window")).filter("_doc > _from")
+    gone = (
+        later.select("_doc", "_tag", "place")
+        .unionByName(found.filter("again").select("_doc", "_tag", "place"))
         .groupBy(F.col("_doc"), F.col("_tag").alias("_of"))
-        .agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
+        .agg(F.collect_set("place").alias("_places"))
     )
-    same = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)) == F.col("_doc")) & (F.col("_tag") == F.col("_of"))
-    lines = _lines(F.col("text"))
-    gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["last"]))))
-    every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(
-        F.array().cast("array<int>"))
-    kept = F.array_join(F.transform(F.array_except(every, gone), lambda at: F.get(lines, at)), "")
-    return docs.join(spans, same, "left").select(
+    pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
+    lead = F.when(F.rlike("text", F.lit(r"\A[.!?\s]")), 1).otherwise(0)
+    covered = F.array_distinct(F.flatten(F.transform(
+        "_places", lambda at: F.array(at, at + 1, at + 2))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(covered, lambda at: at + lead))
+    return docs.join(gone, (order == F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left").select(
         *rest,
-        F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.size(lines).alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"),
+        F.when(F.col("_places").isNull(), F.col("text"))
+        .otherwise(F.array_join(F.transform(kept, lambda at: F.get(pieces, at)), "")).alias("text"),
+        F.size(_hashes(F.col("text"))).alias("n_lines"),
+        F.when(F.col("_places").isNull(), 0).otherwise(F.size(covered)).alias("n_removed"),
     )
 
 
 #: The same in plain SQL, by the lines themselves.
 LINES_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+(?:[.!?\n]+ *)?|[.!?\n]+ *') AS lines
+WITH cut AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[.!?\s]+|[^.!?\n]+[.!?\s]*') AS pieces
   FROM documents),
-told AS (
-  SELECT doc_id, at, regexp_replace(lines[at], '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS line
-  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS at FROM lines)),
+lines AS (
+  SELECT doc_id, spot, regexp_replace(pieces[spot], '^[.!? \t\n\r\f\v]+|[.!? \t\n\r\f\v]+$', '', 'g') AS line
+  FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS spot FROM cut)),
 windows AS (
-  SELECT doc_id, at AS first, lead(at, 2) OVER w AS last,
-         [line, lead(line) OVER w, lead(line, 2) OVER w] AS passage
-  FROM told WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+  SELECT doc_id, spot, [line, lead(line) OVER w, lead(line, 2) OVER w] AS passage
+  FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY spot)
+  QUALIFY lead(line, 2) OVER w IS NOT NULL),
 later AS (
-  SELECT doc_id, first, last,
-         row_number() OVER (PARTITION BY passage ORDER BY doc_id, first) AS occurrence
-  FROM windows WHERE last IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS at FROM later WHERE occurrence > 1)
-SELECT l.doc_id, len(lines)::INT AS n_lines, coalesce(len(g.ats), 0)::INT AS n_removed,
-       CASE WHEN g.ats IS NULL THEN text
-            ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(g.ats, i)), '') END AS text
-FROM lines l LEFT JOIN (SELECT doc_id, list(at) AS ats FROM gone GROUP BY doc_id) g ON l.doc_id = g.doc_id
+  SELECT doc_id, spot, row_number() OVER (PARTITION BY passage ORDER BY doc_id, spot) AS occurrence
+  FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(spot, spot + 3)) AS spot FROM later WHERE occurrence > 1),
+spots AS (SELECT doc_id, list(spot) AS spots FROM gone GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM lines WHERE line <> '' GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0)::INT AS n_lines, coalesce(len(spots), 0)::INT AS n_removed,
+       CASE WHEN spots IS NULL THEN text
+            ELSE array_to_string(list_filter(pieces, lambda x, i: NOT list_contains(spots, i)), '') END AS text
+FROM cut c LEFT JOIN spots s ON c.doc_id = s.doc_id LEFT JOIN counts k ON c.doc_id = k.doc_id
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, lines, mixing
+from ledgerloom.llm import chat, lines, mixing, near
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +61,9 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_lines"] = lines.LINES_SQL
+
+
+@query
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, by 2-word shingles."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"), width=2)
