@@ -53,9 +53,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     docs = docs.select(*rest, "text").withColumn("_tag", F.hash("text"))
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    found = stored(
+    told = stored(
         docs.select(order.alias("_doc"), "_tag", _hashes(F.col("text")).alias("_hashes"))
-        .select("_doc", "_tag", F.inline(_windows(F.col("_hashes")))))
+        .select("_doc", "_tag", F.size("_hashes").alias("_lines"), _windows(F.col("_hashes")).alias("_windows")))
+    found = told.select("_doc", "_tag", F.inline("_windows"))
     once = found.filter("NOT again")
     known = (
         once.groupBy(F.col("window").alias("_window"))
@@ -63,26 +64,34 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         .filter("_n > 1")
     )
     later = once.join(known, F.col("window") == F.col("_window")).filter("_doc > _from")
-    gone = (
-        later.select("_doc", "_tag", "place")
-        .unionByName(found.filter("again").select("_doc", "_tag", "place"))
-        .groupBy(F.col("_doc"), F.col("_tag").alias("_of"))
-        .agg(F.collect_set("place").alias("_places"))
+    nothing = F.lit(None).cast("int")
+    of_doc = (
+        told.select("_doc", "_tag", "_lines", nothing.alias("place"))
+        .unionByName(later.select("_doc", "_tag", nothing.alias("_lines"), "place"))
+        .unionByName(found.filter("again").select("_doc", "_tag", nothing.alias("_lines"), "place"))
+        .groupBy("_doc", F.col("_tag").alias("_of"))
+        .agg(F.max("_lines").alias("n_lines"), F.collect_set("place").alias("_places"))
+        .withColumn("_gone", F.array_distinct(F.flatten(F.transform("_places", lambda at: F.array(at, at + 1, at + 2)))))
     )
-    pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
-    lead = F.when(F.rlike("text", F.lit(r"\A[.!?\s]")), 1).otherwise(0)
-    covered = F.array_distinct(F.flatten(F.transform(
-        "_places", lambda at: F.array(at, at + 1, at + 2))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(covered, lambda at: at + lead))
-    return docs.join(gone, (order == F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left").select(
+    return docs.join(of_doc, (order == F.col("_doc")) & (F.col("_tag") == F.col("_of"))).select(
         *rest,
-        F.when(F.col("_places").isNull(), F.col("text"))
-        .otherwise(F.array_join(F.transform(kept, lambda at: F.get(pieces, at)), "")).alias("text"),
-        F.size(_hashes(F.col("text"))).alias("n_lines"),
-        F.when(F.col("_places").isNull(), 0).otherwise(F.size(covered)).alias("n_removed"),
+        F.when(F.size("_gone") == 0, F.col("text")).otherwise(_without(F.col("text"), F.col("_gone"))).alias("text"),
+        "n_lines", F.size("_gone").alias("n_removed"),
     )
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the lines of the numbers ``gone``."""
+    lead = F.when(F.rlike(text, F.lit(r"\A[.!?\s]")), 1).otherwise(0)
+
+    def rest(pieces: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda at: at + lead))
+        return F.array_join(F.transform(kept, lambda at: F.get(pieces, at)), "")
+
+    # as a lambda's variable the pieces are cut once, not once for each line
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), rest)[0]
+
+
 #: The same in plain SQL, by the lines themselves.
 LINES_SQL = r"""
 WITH cut AS (
