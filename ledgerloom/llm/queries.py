@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, lines, mixing, near
+from ledgerloom.llm import chat, counts, lines, mixing, near, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -67,3 +68,18 @@ ORACLES["op10_lines"] = lines.LINES_SQL
 def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, by 2-word shingles."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query
+def op5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count and best score of every document."""
+    counted = counts.token_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return table(spark, sf_dir, "documents").select("doc_id", counted.alias("c")).select(
+        "doc_id", "c.n_tokens", "c.score")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and whether its label was kept from training."""
+    return toxic.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
