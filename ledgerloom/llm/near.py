@@ -15,6 +15,8 @@ from ledgerloom.llm.words import WordHashes, chained, fingerprint, hashed, shing
 #: Places of the two permutations; coordinates of a signature: BANDS of ROWS.
 PLACES, BANDS, ROWS = 1 << 20, 32, 6
 BLOCK = 256
+#: Passes in which the nodes of a bucket meet one centre.
+STARS = 3
 
 
 class Circulant:
@@ -151,28 +153,56 @@ def _joined(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[
     return found
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, members["node"] == roots["_n"], "left").select(
+        *members.columns, F.coalesce("root", "node").alias("root"))
+
+
+def _pairs_with_centres(members: DataFrame) -> DataFrame:
+    """Every node of a bucket with the one of the most company that is in another component than the last centre."""
+    centres = members.filter("root <> _last").groupBy("key").agg(
+        F.max_by(F.struct("node", "root"), F.struct("_company", -F.col("node"))).alias("c"))
+    met = members.join(centres, "key").filter("root <> c.root").select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _outside(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with several components; ``_last``: the component of the most company."""
+    rooted = _rooted(members, roots)
+    top = rooted.groupBy("key").agg(
+        F.max_by("root", F.struct("_company", -F.col("node"))).alias("_last"),
+        F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
+    return rooted.join(top.select("key", "_last"), "key")
+
+
 def _remaining(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the comparison with centres left open, between components of one bucket.
 
-    Buckets with the same members are compared once. Members of a bucket are dealt
-    to blocks of about ``BLOCK`` and every two blocks meet in a task of their own.
+    Buckets with the same members are compared once. The largest component of a
+    bucket and the rest are dealt to blocks of about ``BLOCK``; every block of the
+    rest meets every other block, and no two of the largest component meet.
     """
-    apart = members.join(roots, members["node"] == roots["_n"], "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = apart.groupBy("key").agg(
-        F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("_rows"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_who"),
-    ).filter((F.col("_r") < F.col("_s")) & (F.col("_rows") > 2))
-    open_ = open_.groupBy("_rows", "_who").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("_rows") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    dealt = (
-        apart.join(open_.select("key", blocks.alias("_blocks")), "key").withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("key", "node", "root", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
-                (F.col("_mine") > F.col("_other")).cast("int").alias("side"))
-    )
-    rows = dealt.join(sets, "node").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "side")
+    apart = _rooted(members, roots)
+    held = apart.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("_k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_h"))
+    open_ = held.groupBy("key").agg(
+        F.count(F.lit(1)).alias("_roots"), F.sum("_k").alias("_rows"), F.sum("_h").alias("_who"),
+        F.max("_k").alias("_large"), F.max_by("root", "_k").alias("_top"),
+    ).filter((F.col("_roots") > 1) & (F.col("_rows") > 2))
+    open_ = open_.groupBy("_rows", "_who").agg(F.min_by(F.struct("key", "_top", "_large"), "key").alias("o")).select(
+        "o.key", "o._top", F.ceil(F.col("o._large") / BLOCK).cast("int").alias("_own"),
+        F.ceil((F.col("_rows") - F.col("o._large")) / BLOCK).cast("int").alias("_else"))
+    within = F.col("root") == F.col("_top")
+    at = F.pmod(F.xxhash64("node"), F.when(within, F.col("_own")).otherwise(F.col("_else"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda kind, i, j, side: F.struct(
+        F.lit(kind).alias("kind"), i.alias("_i"), j.alias("_j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    # the largest component meets the rest; the rest meets itself
+    meets = F.when(within, F.transform(upto("_else"), lambda j: group(0, F.col("_at"), j, 1))).otherwise(F.concat(
+        F.transform(upto("_own"), lambda i: group(0, i, F.col("_at"), 0)),
+        F.transform(upto("_else"), lambda j: group(1, F.least("_at", j), F.greatest("_at", j), (F.col("_at") > j).cast("int")))))
+    dealt = apart.join(open_, "key").withColumn("_at", at).select("key", "node", "root", F.inline(meets))
+    rows = dealt.join(sets, "node").repartition("key", "kind", "_i", "_j").sortWithinPartitions("key", "kind", "_i", "_j", "side")
 
     def work(batches):
         held, at = [], None
@@ -186,14 +216,14 @@ def _remaining(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
 
         for batch in batches:
             pairs = []
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("key", "_i", "_j", "node", "root", "side")]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("key", "kind", "_i", "_j", "node", "root", "side")]
             own = batch.column(batch.schema.get_field_index("shingles"))
             ends, flat = np.asarray(own.offsets), np.asarray(own.values)
-            for k, (key, i, j, node, root, side) in enumerate(zip(*(c.to_pylist() for c in columns))):
-                if (key, i, j) != at:
+            for k, (*group, node, root, side) in enumerate(zip(*(c.to_pylist() for c in columns))):
+                if group != at:
                     if len(held) > 1:
                         pairs += done()
-                    held, at = [], (key, i, j)
+                    held, at = [], group
                 held.append((node, root, side, flat[ends[k]:ends[k + 1]].copy()))
             yield out(pairs)
         if len(held) > 1:
@@ -211,8 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     values: at 80 % a pair shares no band about 6 times in 100,000.
 
     Equal sets are one node. In each bucket every node meets the one with the most
-    company, exactly; a second pass compares, in blocks, all nodes of a bucket that
-    are still in different components. So no candidate pair goes unchecked and no
+    company, exactly, and in two more passes one of another component; a last pass
+    compares, in blocks, all nodes of a bucket that are still in different
+    components. So no candidate pair goes unchecked and no
     bucket is cut, yet a large group costs its size.
 
     Texts without words (null, empty, blank) have an empty set and stay alone. Rows
@@ -227,17 +258,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     members = stored(spread.join(shared, "key").distinct())
     company = members.groupBy("node").agg(F.sum("_n").alias("_company"))
-    centres = members.join(company, "node").groupBy("key").agg(
-        F.max_by("node", F.struct("_company", -F.col("node"))).alias("b"))
-    pairs = members.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
-    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    members = stored(members.select("node", "key").join(company, "node"))
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "f1", "f2")
     sets = stored(_sets_of(docs, wanted, width))
     same = taking.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    links = stored(_checked(pairs, sets, percent))
-    roots = components(links).select(F.col("node").alias("_n"), "root")
+    links, roots = None, None
+    for _ in range(STARS):
+        now = members.withColumns({"root": F.col("node"), "_last": F.lit(-1) - F.abs("node")}) if roots is None else _outside(members, roots)
+        found = stored(_checked(_pairs_with_centres(now), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links).select(F.col("node").alias("_n"), "root")
     more = _remaining(members, roots, sets, percent)
     final = components(
         roots.select(F.col("_n").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(same)
