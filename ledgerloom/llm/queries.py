@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, counts, lines, mixing, near, toxic
+from ledgerloom.llm import chat, counts, leaks, lines, mixing, near, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -83,3 +83,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, and whether its label was kept from training."""
     return toxic.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it leaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("l")).select(
+        "doc_id", "l.item_id", "l.score", "l.question", "l.answer")

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS, SIZE = 1 << 17, 4
 #: Words in a window; labelled documents of each class and their windows that are learned from.
-WINDOW, SAMPLE, SAMPLE_WINDOWS = 32, 3000, 40
+WINDOW, SAMPLE, SAMPLE_WINDOWS = 8, 3000, 120
 #: Documents that a subword must be in; rounds over all windows, times the best ones are chosen, rounds over those.
-MIN_DOCS, ROUNDS, RATE = 10, (10, 6, 30), 0.5
+MIN_DOCS, ROUNDS, RATE = 10, (8, 6, 25), 0.5
 OUTER = ".,;:!?\"'()[]{}|<>«»„“”‘’-_*~`"
 
 
