@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, counts, leaks, lines, mixing, near, toxic
+from ledgerloom.llm import chat, counts, leaks, lines, mixing, near, repair, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -91,3 +91,9 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaks.with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("l")).select(
         "doc_id", "l.item_id", "l.score", "l.question", "l.answer")
+
+
+@query
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read from the shards."""
+    return repair.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
