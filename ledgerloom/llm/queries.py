@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, counts, leaks, lines, mixing, near, repair, toxic
+from ledgerloom.llm import chat, counts, leaks, lines, mixing, near, neighbours, repair, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +97,10 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read from the shards."""
     return repair.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
