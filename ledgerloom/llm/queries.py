@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, counts, leaks, lines, mixing, near, neighbours, repair, toxic
+from ledgerloom.llm import chat, counts, kneser, leaks, lines, mixing, near, neighbours, repair, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -104,3 +104,11 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every hundredth vector."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op7_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the bigram model of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", kneser.held_out(F.col("doc_id")))
+    return kneser.scored(docs, kneser.train(docs.filter("NOT held_out"))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
