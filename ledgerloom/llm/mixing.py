@@ -38,8 +38,9 @@ def apportioned(df: DataFrame, groups: list[str], claim: str, seats: str, cap: s
     A row's quotients are claim / (2k + 1) for its k-th seat, k below ``cap``; the
     highest quotients of a group win, ties to the smaller ``tie``. Seats that
     are certain at any divisor near the ideal one are given at once, and only
-    the few at the edge are ranked, so the work grows with rows, not seats. Seats
-    that no row may take stay empty.
+    the few at the edge are ranked, so the work grows with rows, not seats. A cap
+    stops a row whose share was rounded up; it must not be below the share, or
+    seats stay empty.
     """
     group = Window.partitionBy(*groups)
     share = F.col(seats) * F.col(claim) / F.when(F.sum(claim).over(group) > 0, F.sum(claim).over(group))

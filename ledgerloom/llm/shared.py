@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.
+    """A new folder name below ``spark.checkpoint.dir``, with its file system.
 
     Only where the session names no such folder (tests, a laptop) is one made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if "://" not in base:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(base or tempfile.mkdtemp(prefix="shared-"))
+        base = re.sub(r"^(\w+):/(?=[^/])", r"\1:///", context.getCheckpointDir())
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
