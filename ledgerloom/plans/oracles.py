@@ -469,27 +469,27 @@ ORACLES = {
         AND o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0 AND o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0""",
     "ledger_row_errors": """WITH judged AS (
         SELECT CAST(o_custkey AS VARCHAR) AS report_id, o_orderkey + 1 AS row_no,
-          CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN 'label is required'
-               WHEN o_orderkey % 19 = 0 THEN 'account_number is required for CSV input'
-               WHEN o_orderkey % 43 = 0 THEN 'debit_credit must be debit or credit'
-               WHEN o_orderkey % 29 = 0 THEN 'amount must be a non-negative finite number'
-               WHEN o_orderkey % 31 = 0 THEN 'amount must be numeric'
-               WHEN o_orderkey % 37 = 0 THEN 'amount must be a non-negative finite number'
-               WHEN o_orderkey % 41 = 0 THEN 'amount is required' END AS problem FROM orders)
+          CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN 'the label is empty'
+               WHEN o_orderkey % 19 = 0 THEN 'the account number is empty'
+               WHEN o_orderkey % 43 = 0 THEN 'neither debit nor credit'
+               WHEN o_orderkey % 29 = 0 THEN 'the amount is negative or not finite'
+               WHEN o_orderkey % 31 = 0 THEN 'the amount is no number'
+               WHEN o_orderkey % 37 = 0 THEN 'the amount is negative or not finite'
+               WHEN o_orderkey % 41 = 0 THEN 'the amount is empty' END AS problem FROM orders)
       SELECT report_id, row_no, 'Row ' || row_no || ': ' || problem AS message FROM judged WHERE problem IS NOT NULL""",
     "extract_errors": """WITH usable AS (
         SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0
         AND o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0 AND o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0)
-      SELECT CAST(c_custkey AS VARCHAR) AS report_id, 'Reference figures require: source label' AS message FROM customer WHERE c_custkey % 50 = 0
-      UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'A control total must be entered before its tie-out can be confirmed' FROM customer
+      SELECT CAST(c_custkey AS VARCHAR) AS report_id, 'not given: source label' AS message FROM customer WHERE c_custkey % 50 = 0
+      UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'control total confirmed but not given' FROM customer
         WHERE c_custkey % 20 = 0 AND c_custkey % 3 <> 0
-      UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'Add at least one complete reference-figure row or leave CFO reconciliation off' FROM customer
+      UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'the extract has no complete row' FROM customer
         WHERE c_custkey NOT IN (SELECT o_custkey FROM usable)""",
     "file_identity": """SELECT CAST(doc_id AS VARCHAR) AS report_id, source AS filename,
         CASE WHEN doc_id % 10 = 0 THEN repeat('0', 64) WHEN doc_id % 10 = 1 THEN 'not_yet_parsed' ELSE sha256(text) END AS confirmed_workbook_hash,
         sha256(text) AS observed_workbook_hash, doc_id % 10 > 1 AS is_match FROM documents""",
     "disclosure_decisions": f"""WITH {DOC_CELLS},
-      asked AS (SELECT workbook_id, min(tab_key) AS request_tab FROM cells GROUP BY 1),
+      asked AS (SELECT DISTINCT workbook_id, tab_key AS request_tab FROM cells),
       judged AS (
         SELECT workbook_id, request_tab, node,
                CASE WHEN tab_key <> request_tab THEN 'not reachable from this tab or its designated outputs, not sent' ELSE reason END AS reason
@@ -543,15 +543,12 @@ ORACLES = {
              ELSE 'payload may not contain a ''context'' key' END AS problem
       FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 7 = 0""",
     "independence_statements": f"""WITH {EVENT_LOG},
-      kept AS (SELECT *, CASE WHEN CAST(report_id AS INTEGER) % 2 = 0 THEN ' reviewer 1' ELSE 'Reviewer B' END AS name FROM log
-               WHERE actor IS NULL OR NOT (CAST(report_id AS INTEGER) % 3 = 0 AND actor = 'Reviewer 0')),
-      prepared AS (SELECT report_id, string_agg(DISTINCT actor, ', ' ORDER BY actor) AS names, bool_and(lower(actor) = lower(trim(name))) AS same
-                   FROM kept WHERE event_type = 'gate_decision' AND gate IN (2, 3) AND actor IS NOT NULL GROUP BY 1)
-      SELECT r.report_id, CAST(r.report_id AS INTEGER) % 2 = 0 AS name_in_registry,
-        CASE WHEN names IS NULL THEN 'No preparer was recorded separately from the approver for this report. No independent review was performed.'
-             WHEN same THEN 'The preparer and the approver were the same individual for this report. No independent review was performed.'
-             ELSE 'This report was prepared by ' || names || ' and approved by ' || r.name || '.' END AS independence_disclosure
-      FROM (SELECT DISTINCT report_id, name FROM kept) r LEFT JOIN prepared USING (report_id)""",
+      kept AS (SELECT report_id, event_type, gate, CASE WHEN CAST(report_id AS INTEGER) % 2 = 0 THEN ' reviewer 1' ELSE 'Reviewer B' END AS name,
+                      CASE WHEN CAST(report_id AS INTEGER) % 3 <> 0 OR actor <> 'Reviewer 0' THEN actor END AS who FROM log),
+      prepared AS (SELECT report_id, string_agg(DISTINCT who, ', ' ORDER BY who) AS preparers, bool_and(lower(who) = lower(trim(name))) AS same_person
+                   FROM kept WHERE event_type = 'gate_decision' AND gate IN (2, 3) AND who IS NOT NULL GROUP BY 1)
+      SELECT r.report_id, CAST(r.report_id AS INTEGER) % 2 = 0 AS name_in_registry, preparers, same_person
+      FROM (SELECT DISTINCT report_id FROM kept) r LEFT JOIN prepared USING (report_id)""",
     "latest_snapshots": """SELECT CAST(user_id AS VARCHAR) AS report_id, event_type AS gate_name, max(event_id) AS snapshot_id,
         sha256(arg_max(props, event_id)) AS state_hash FROM events GROUP BY 1, 2""",
     "recovery_status": """WITH last AS (

@@ -880,10 +880,9 @@ def _document_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 @query
 def disclosure_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, requests, edges = _document_cells(spark, sf_dir)
-    one = requests.groupBy("workbook_id").agg(F.min("tab_key").alias("tab_key"))
     outputs = spark.createDataFrame([], "workbook_id string, output_ref string")
-    scope = disclosure.cells_in_scope(one, cells, edges, outputs)
-    return disclosure.decide(one, cells, scope)
+    scope = disclosure.cells_in_scope(requests, cells, edges, outputs)
+    return disclosure.decide(requests, cells, scope)
 
 
 @query
@@ -991,7 +990,7 @@ def event_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def independence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _event_log_input(spark, sf_dir).withColumnRenamed("event_no", "row_id")
-    log = log.filter("not (report_id % 3 = 0 and actor = 'Reviewer 0')")
+    log = log.withColumn("actor", F.expr("if(report_id % 3 = 0 and actor = 'Reviewer 0', null, actor)"))
     approvals = log.select("report_id").distinct().select(
         "report_id",
         F.when(F.col("report_id").cast("int") % 2 == 0, " reviewer 1").otherwise("Reviewer B").alias("approval_name"),
@@ -999,7 +998,7 @@ def independence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     approvers = spark.createDataFrame([("REVIEWER 1 ",)], "name string")
     judged = events.registered(approvals, approvers)
-    return events.independence(judged, log).select("report_id", "name_in_registry", "independence_disclosure")
+    return events.independence(judged, log).select("report_id", "name_in_registry", "preparers", "same_person")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,12 +25,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset (tests, a laptop) is a temporary folder used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; without it
+    this is an error, as executors could not see a folder of the driver.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+        if named is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)

@@ -180,9 +180,8 @@ def test_events_and_approval(spark):
     assert ack == {"b": False}
     approvals = spark.createDataFrame([("a", " a", "cfo"), ("b", "B", "cfo"), ("c", "A", "cfo"), ("d", " ", "x")], "report_id string, approval_name string, role string")
     approvers = spark.createDataFrame([("A ",)], "name string")
-    said = {r.report_id: r.independence_disclosure for r in events.independence(approvals, log).collect()}
-    assert said["a"].startswith("The preparer and") and said["c"].startswith("No preparer")
-    assert said["b"] == "This report was prepared by A and approved by B."
+    said = {r.report_id: (r.preparers, r.same_person) for r in events.independence(approvals, log).collect()}
+    assert said["a"][1] is True and said["c"] == (None, None) and said["b"] == ("A", False)
     made = events.approval_events(approvals, approvers, log).collect()
     assert sorted(r.event_type for r in made) == ["gate_decision"] + ["report_approved"] * 3
     whole = evidence.with_context
