@@ -156,3 +156,39 @@ def parsed(formatted: Column) -> Column:
 def targets(formatted: Column, loss: Column) -> Column:
     """The texts under the loss mask, unescaped, in order."""
     return F.transform(loss, lambda s: unescaped(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int"))))
+
+
+#: The digests of op9 in plain SQL, with the windows' lengths by their definition.
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         ceil(strlen(coalesce(text, '')) / 4)::BIGINT + 6 AS tokens
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+placed AS (
+  SELECT *, row_number() OVER w AS idx, (sum(tokens) OVER w)::BIGINT - tokens AS before,
+         25 + length(url_encode(role)) + length(regexp_replace(text,
+           '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<\|im_start\|>|<\|im_end\|>)', '\\\1\2', 'g')) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING)),
+systems AS (
+  SELECT conv_id AS c, min(idx) AS sys, arg_min(tokens, idx) AS sys_tokens FROM placed WHERE role = 'system' GROUP BY 1),
+known AS (
+  SELECT p.*, CASE WHEN sys_tokens <= 512 THEN sys END AS sys,
+         greatest((1024 - 256 - CASE WHEN sys_tokens <= 512 THEN sys_tokens ELSE 0 END) // 2, 1) AS step
+  FROM placed p LEFT JOIN systems s ON p.conv_id IS NOT DISTINCT FROM s.c),
+windowed AS (SELECT *, 2 * (before // step) + CASE WHEN tokens > step THEN 1 ELSE 0 END AS win FROM known),
+begun AS (SELECT conv_id, win, min(idx) AS first, min(before) AS start, any_value(sys) AS sys FROM windowed GROUP BY ALL),
+again AS (
+  SELECT b.conv_id, sum(t.chars) AS chars
+  FROM begun b JOIN windowed t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.idx < b.first
+   AND (t.idx = b.sys OR (b.first - t.idx <= 2 AND b.start - t.before <= 256))
+  GROUP BY 1),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx) AS said,
+         coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '') AS learned, sum(chars) AS chars
+  FROM windowed GROUP BY 1)
+SELECT w.conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+       (w.chars + coalesce(a.chars, 0))::BIGINT AS formatted_chars
+FROM whole w LEFT JOIN again a ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

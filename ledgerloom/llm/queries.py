@@ -112,3 +112,4 @@ def op7_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", kneser.held_out(F.col("doc_id")))
     return kneser.scored(docs, kneser.train(docs.filter("NOT held_out"))).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+ORACLES["op9_chat"] = chat.CHAT_SQL
