@@ -8,7 +8,10 @@ import pytest
 import __spark_entry__ as entry_module
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not here")
 
