@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS, SIZE = 1 << 17, 4
 #: Words in a window; labelled documents of each class and their windows that are learned from.
-WINDOW, SAMPLE, SAMPLE_WINDOWS = 8, 3000, 120
+WINDOW, SAMPLE, SAMPLE_WINDOWS = 8, 1500, 60
 #: Documents that a subword must be in; rounds over all windows, times the best ones are chosen, rounds over those.
-MIN_DOCS, ROUNDS, RATE = 10, (8, 6, 25), 0.5
+MIN_DOCS, ROUNDS, RATE = 20, (15, 4, 15), 0.3
 OUTER = ".,;:!?\"'()[]{}|<>«»„“”‘’-_*~`"
 
 
@@ -100,16 +100,18 @@ class Bags:
 class Softmax:
     """Subword embeddings and a linear softmax over their averages."""
 
-    def __init__(self, spelt: Bags) -> None:
+    def __init__(self, spelt: Bags, seen: np.ndarray) -> None:
         rng = np.random.default_rng(11)
         self.spelt = spelt
+        # chance moves a subword's gradient by the root of how often it is seen
+        self.scales = [1 / np.sqrt(np.maximum(seen, 1)).astype(np.float32)[:, None], 1.0, 1.0]
         self.values = [rng.normal(0, 0.1, (spelt.members, SIZE)).astype(np.float32),
                        rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)]
         self.moments = [[np.zeros_like(x), 0.0] for x in self.values]
         self.step = 0
 
     def train(self, windows: Bags, labels: np.ndarray, weights: np.ndarray, rounds: int) -> None:
-        """Full-batch descent; one step scale for a whole array, so that rare subwords move by their share."""
+        """Full-batch descent. A subword moves by how far its gradient is from chance, so neither rare nor common ones lead."""
         want = np.eye(2, dtype=np.float32)[labels]
         for _ in range(rounds):
             self.step += 1
@@ -119,7 +121,8 @@ class Softmax:
             out = np.exp(out - out.max(axis=1)[:, None])
             miss = (out / out.sum(axis=1)[:, None] - want) * weights[:, None]
             grads = (self.spelt.gradient(windows.gradient(miss @ soft.T)), hidden.T @ miss, miss.sum(axis=0))
-            for x, g, moment in zip(self.values, grads, self.moments):
+            for x, raw, scale, moment in zip(self.values, grads, self.scales, self.moments):
+                g = raw * scale
                 moment[0] += 0.1 * (g - moment[0])
                 moment[1] += 0.01 * (float((g * g).max()) - moment[1])
                 x -= RATE * (moment[0] / (1 - 0.9**self.step)) / (np.sqrt(moment[1] / (1 - 0.99**self.step)) + 1e-12)
@@ -158,7 +161,7 @@ def fit(windows: list[list[str]], labels: np.ndarray, docs: np.ndarray, totals:
         return flat
     column = np.full(BUCKETS, len(common))  # the last one stands for all rare subwords
     column[common] = np.arange(len(common))
-    softmax = Softmax(Bags([column[p] for p in parts], len(common) + 1))
+    softmax = Softmax(Bags([column[p] for p in parts], len(common) + 1), np.append(seen[common], seen.sum()))
 
     def balanced(of: np.ndarray) -> np.ndarray:
         weigh = 1.0 / np.bincount(of, minlength=n_docs)[of]
