@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from ledgerloom.llm.shared import shared_folder
 
 END_ID = 2
 #: Text bytes of a shard, about; least count of a pair; rounds of replacing.
-SHARD_BYTES, LEAST, ROUNDS = 1 << 21, 4, 6
+SHARD_BYTES, LEAST, ROUNDS = 1 << 21, 4, 5
 
 
 #: Blanks to str.split that the tokenizer takes for characters.
@@ -31,9 +31,10 @@ class WordIds(dict):
     after it has the ids of both, and capital ASCII letters those of small ones.
     """
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 20
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given each core its task
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
@@ -44,23 +45,24 @@ class WordIds(dict):
         return (word[:-1], word[-1]) if word[-1] in ".," and word[:-1].isalpha() else (word,)
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.keys()
-        if len(self) + 2 * len(new) > self.LIMIT:
+        new = {w for w in words if w not in self}
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = words
         parts = {w: self._parts(w) for w in new}
-        plain = list({p for ps in parts.values() for p in ps} - self.keys())
-        for part, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False)):
-            self[part] = tuple(e.ids)
+        plain = list({p for ps in parts.values() for p in ps if p not in self})
+        made = {p: np.array(e.ids, "<i4").tobytes()
+                for p, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False))}
         for word, ps in parts.items():
-            self[word] = sum((self[p] for p in ps), ())
+            made[word] = b"".join([made[p] if p in made else self[p] for p in ps])
+        self.update((w, made[w]) for w in new)
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
         split = [[] if not t else [t] if ODD.search(t) else t.split() for t in texts]
         self.learn(set().union(*split))
-        end = (END_ID,)
-        return [np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), end), np.int32) for words in split]
+        end = np.array([END_ID], "<i4").tobytes()
+        return [np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<i4") for words in split]
 
 
 #: One for each tokenizer file, kept while a Python worker lives.
@@ -111,9 +113,16 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tup
                 role[x] = 3
                 chosen.append(key)
         pairs = np.sort(np.array(chosen))
-        at = np.searchsorted(pairs, keys)
-        at[at == len(pairs)] = 0
-        hit = pairs[at] == keys
+        role = np.array(role, np.int8)
+        first, second = role[left], role[right]
+        may = np.flatnonzero((keys >= 0) & (((first == 1) & (second == 2)) | ((first == 3) & (left == right))))
+        place = np.searchsorted(pairs, keys[may])
+        place[place == len(pairs)] = 0
+        own = pairs[place] == keys[may]
+        at = np.zeros(len(keys), np.int64)
+        at[may[own]] = place[own]
+        hit = np.zeros(len(keys), bool)
+        hit[may[own]] = True
         same = hit & (left == right)
         if same.any():  # every second place of a run
             places = np.flatnonzero(same)
@@ -194,9 +203,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int
     """
     weight = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(1, -(-weight // (8 * shard_bytes)))
-    sorted_ = docs.select("doc_id", "text").repartitionByRange(
-        ranges, F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()
-    ).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
+    # by doc_id alone: ranges come from a sample of keys, which no text should be in
+    sorted_ = docs.select("doc_id", "text").repartitionByRange(ranges, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
     numbered = sorted_.withColumn("_range", F.spark_partition_id())
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
