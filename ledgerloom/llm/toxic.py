@@ -19,14 +19,21 @@ MIN_DOCS, ROUNDS, RATE = 20, (15, 4, 15), 0.3
 OUTER = ".,;:!?\"'()[]{}|<>«»„“”‘’-_*~`"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's runs of 3 to 5 characters, with marks at its ends.
+def runs(word: str) -> set[str]:
+    """A word's runs of 3 to 5 characters, with marks at its ends.
 
     The whole word is none of them, so that a misspelt one is never far off.
     """
     marked = f"<{word}>"
-    parts = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in sorted(parts)]
+    return {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+
+
+def bucket(run: str) -> int:
+    return xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def subwords(word: str) -> list[int]:
+    return [bucket(r) for r in sorted(runs(word))]
 
 
 def words(text: str | None) -> list[str]:
@@ -44,33 +51,48 @@ class Model:
     offset: float
     empty: float
 
-    def word(self, word: str) -> float:
-        return float(self.weights[subwords(word)].mean())
-
     def score(self, best: np.ndarray | float) -> np.ndarray | float:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30)))
 
 
-class WordScores(dict):
-    """Word scores of a model, remembered for a bounded number of words."""
+class RunWeights(dict):
+    """Weights of runs of characters, remembered for a bounded number of them."""
 
     LIMIT = 1 << 19
 
     def __init__(self, model: Model) -> None:
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, run: str) -> float:
         if len(self) >= self.LIMIT:
             self.clear()
-        made = self[word] = self.model.word(word)
+        made = self[run] = float(self.model.weights[bucket(run)])
+        return made
+
+
+class WordScores(dict):
+    """Scores of words as written, remembered for a bounded number; nan for bare marks."""
+
+    LIMIT = 1 << 19
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.runs = model, RunWeights(model)
+
+    def __missing__(self, written: str) -> float:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        word = written.strip(OUTER)
+        parts = sorted(runs(word)) if word else []
+        made = self[written] = sum(map(self.runs.__getitem__, parts)) / len(parts) if parts else float("nan")
         return made
 
     def best(self, text: str | None) -> float | None:
         """Highest average over any ``WINDOW`` words in a row, or over all if fewer."""
-        found = words(text)
-        if not found:
-            return None
+        found = (text or "").lower().split()
         told = np.fromiter(map(self.__getitem__, found), np.float64, len(found))
+        told = told[~np.isnan(told)]
+        if not len(told):
+            return None
         width = min(WINDOW, len(told))
         total = np.concatenate([[0.0], np.cumsum(told)])
         return float((total[width:] - total[:-width]).max()) / width + self.model.bias
@@ -236,7 +258,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_win
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     cuts = texts.mapInPandas(cut, "doc_id bigint, label int, window string")
-    return pickle.loads(cuts.coalesce(1).mapInPandas(train, "model binary").first()["model"])
+    return pickle.loads(cuts.repartition(1).mapInPandas(train, "model binary").first()["model"])
 
 
 def toxicity(text: Column, model: Model) -> Column:
