@@ -236,6 +236,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_win
     what meets in the one training task is bounded.
     """
     known = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    of = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    totals = (of.get(0, 0), of.get(1, 0))
     drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
@@ -254,7 +256,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_win
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches) or [pd.DataFrame({"doc_id": [], "label": [], "window": []})])
         rows = rows.sort_values(["doc_id", "window"], kind="stable")
-        model = fit([w.split(" ") for w in rows["window"]], rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64))
+        model = fit([w.split(" ") for w in rows["window"]], rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64), totals)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     cuts = texts.mapInPandas(cut, "doc_id bigint, label int, window string")
