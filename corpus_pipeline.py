@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import leaks, mixing, near, repair, toxic
-from ledgerloom.llm.shared import stored, table
+from ledgerloom.llm.shared import hash60, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,17 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole copy."""
+    """Each document as often as the mix takes its words, on average.
+
+    A fraction of a copy becomes a whole one with that chance, by a hash of the row,
+    so a source's written words come near its target and no document is written
+    more than the mix's repeats.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     mixed = mixing.mixed(docs, keep=rest)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.withColumn("_copies", copies).filter("_copies > 0").withColumn(
+    chance = hash60(F.lit("copies"), F.col("doc_id"), F.xxhash64("text")) / F.lit(float(1 << 60))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)
+    return mixed.withColumn("_copies", F.least(copies, F.lit(mixing.REPEATS)).cast("int")).filter("_copies > 0").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
