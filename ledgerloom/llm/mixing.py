@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.llm.shared import WORD, hash60, stored
 
 REPEATS = 3
+#: A block in every shard of a source holds at most this part of the source.
+PARTIAL = 200
 
 
 def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -77,13 +79,18 @@ def mixed(
 
     ``docs`` needs doc_id, text and source. Each source's documents are laid out in
     seeded order in ``shards`` stretches and cut into blocks of ``block_words``
-    words. Sainte-Laguë deals blocks to sources by target, then each source's
-    blocks to its shards by size, both as whole numbers; inside a shard evenly
-    spaced blocks from a seeded start are taken. A quota above the blocks there
-    takes blocks again, at most ``repeats`` times each. ``taken`` is the number of
-    a document's words in those blocks.
-
-    Blocks are a millionth of all words, 1 to 1,024, and shards have some 50,000
+    words at most. Sainte-Laguë deals all words to sources by target, then each
+    source's blocks to its shards by their number, both as whole numbers; inside a
+    shard evenly spaced blocks from a seeded start are taken. A quota above the
+    blocks there takes blocks again, at most ``repeats`` times each. ``taken`` is
+    the number of a document's words in those blocks.
+
+    A source has one partly filled block in each of its shards. Its blocks are so
+    small that a block in every shard is a 200th of its size and of its target, down
+    to one word, and it takes as many as hold its words by its own mean block, so
+    what partial blocks lack comes from further ones.
+
+    Blocks are at most a millionth of all words, 1 to 1,024, and shards have some 50,000
     documents, unless given; there are 256 at least, so that one large source is
     spread. A null text has size 0, a null source is one source, equal rows are
     separate documents, and an empty table gives an empty result. Kept columns
@@ -102,31 +109,39 @@ def mixed(
     size = F.col("size")
 
     parts = sized.groupBy("source", "_shard").agg(F.sum(size).alias("_part"))
-    parts = parts.withColumn("_blocks", F.ceil(F.col("_part") / block))
-    sources = parts.groupBy("source").agg(
-        F.sum("_part").alias("source_size"), (repeats * F.sum("_blocks")).alias("_most"))
+    sources = parts.groupBy("source").agg(F.sum("_part").alias("source_size"), F.count(F.lit(1)).alias("_parts"))
     quotas = apportioned(
-        targets(sources, repeats).withColumns({"_all": F.lit(0), "_seats": F.lit(words // block)}),
-        ["_all"], "target", "_seats", "_most", ["source"], "_quota",
-    ).select(F.col("source").alias("_name"), "source_size", "target", "_quota")
+        targets(sources, repeats).withColumns(
+            {"_all": F.lit(0), "_seats": F.lit(words), "_most": repeats * F.col("source_size")}),
+        ["_all"], "target", "_seats", "_most", ["source"], "_words",
+    )
+    fine = F.floor(F.least("source_size", "target") / (PARTIAL * F.col("_parts")))
+    quotas = quotas.select(
+        F.col("source").alias("_name"), "source_size", "target", "_words",
+        F.greatest(F.least(fine, F.lit(block)), F.lit(1)).cast("bigint").alias("_block"))
     parts = parts.join(quotas, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    parts = parts.withColumn("_blocks", F.ceil(F.col("_part") / F.col("_block")))
+    held = F.try_divide("source_size", F.sum("_blocks").over(Window.partitionBy("source")))
+    parts = parts.withColumns({
+        "_quota": F.when(held > 0, F.floor(F.col("_words") / held + 0.5)).otherwise(0).cast("bigint"),
+        "_most": repeats * F.col("_blocks"),
+    })
     parts = apportioned(
-        parts.withColumn("_most", repeats * F.col("_blocks")),
-        ["source"], "_part", "_quota", "_most", ["_shard"], "_take",
+        parts, ["source"], "_blocks", "_quota", "_most", ["_shard"], "_take",
     ).withColumn("_start", hash60("start", F.col("source"), F.col("_shard"), seed) % F.greatest(F.col("_blocks"), F.lit(1)))
 
     line = Window.partitionBy("source", "_shard").orderBy("_place", "doc_id", "size")
     placed = sized.withColumn("_end", F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     parts = parts.select(
         F.col("source").alias("_name"), F.col("_shard").alias("_at"),
-        "source_size", "target", "_blocks", "_take", "_start")
+        "source_size", "target", "_block", "_blocks", "_take", "_start")
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("_name")) & (F.col("_shard") == F.col("_at")))
 
     def taken_before(place: Column) -> Column:
         """Words taken among the first ``place`` words of a shard."""
         div = lambda a, b: F.call_function("div", a, b)
         blocks = lambda n: div(n * F.col("_take") + F.col("_start"), F.col("_blocks"))
-        full = div(place, F.lit(block))
+        full, block = div(place, F.col("_block")), F.col("_block")
         return blocks(full) * block + (place - full * block) * (blocks(full + 1) - blocks(full))
 
     taken = F.when(size > 0, taken_before(F.col("_end")) - taken_before(F.col("_end") - size)).otherwise(0)
@@ -134,7 +149,9 @@ def mixed(
         "doc_id", "source", *(keep or []), "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
-#: The same in plain SQL for default parameters: every quotient is listed and ranked.
+#: The same in plain SQL for default parameters, up to 2^21 words, where blocks are of
+#: one word: every quotient is listed and ranked. Above, it deals blocks of one size and
+#: counts partial ones as full.
 MIXED_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size,
