@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -15,8 +16,8 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.shared import shared_folder
 
 END_ID = 2
-#: Text bytes of a shard, about; least count of a pair; rounds of replacing.
-SHARD_BYTES, LEAST, ROUNDS = 1 << 21, 4, 5
+#: Text bytes of a shard, about; least count of a pair.
+SHARD_BYTES, LEAST = 1 << 21, 4
 
 
 #: Blanks to str.split that the tokenizer takes for characters.
@@ -75,7 +76,7 @@ def word_ids(path: str) -> WordIds:
     return _KNOWN[path]
 
 
-def compressed(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs of symbols) and the sequence that expands to ``ids``.
 
     Symbols from ``base`` (the highest id and one) on are rules, in order; a rule
@@ -83,23 +84,31 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tup
     least ``least`` times, the most frequent first, as long as no symbol that ends
     one begins another, so that no two occurrences overlap; in a run of one symbol
     every second place counts. Pairs never hold the end id, so no rule crosses a
-    document.
+    document. It ends when no pair is left that is seen so often, or after ``rounds``.
+
+    A pair of older symbols is never seen more often than before, so a round looks
+    only at places whose symbols began and ended frequent pairs, or that hold a
+    symbol of the round before.
     """
     sequence = ids.astype(np.int64)
     base = int(ids.max(initial=0)) + 1
     rules: list[np.ndarray] = []
     symbols = base
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        left, right = sequence[:-1], sequence[1:]
+    live = np.ones(max(len(sequence) - 1, 0), bool)
+    for _ in itertools.count() if rounds is None else range(rounds):
+        near = np.flatnonzero(live)
+        left, right = sequence[near], sequence[near + 1]
+        inside = (left != END_ID) & (right != END_ID)
+        near, left, right = near[inside], left[inside], right[inside]
         keys = left * (1 << 31) + right
-        keys = np.where((left == END_ID) | (right == END_ID), -1, keys)
         found, counts = np.unique(keys, return_counts=True)
-        keep = (counts >= least) & (found >= 0)
-        found, counts = found[keep], counts[keep]
+        found, counts = found[counts >= least], counts[counts >= least]
         if not len(found):
             break
+        begins, ends = np.zeros((2, symbols), bool)
+        begins[found >> 31], ends[found & ((1 << 31) - 1)] = True, True
+        often = begins[left] & ends[right]
+        near, left, right, keys = near[often], left[often], right[often], keys[often]
         found = found[np.argsort(-counts, kind="stable")]
         # a symbol begins pairs or ends them in this round, as its best pair has it
         a, b = found >> 31, found & ((1 << 31) - 1)
@@ -115,23 +124,26 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tup
         pairs = np.sort(np.array(chosen))
         role = np.array(role, np.int8)
         first, second = role[left], role[right]
-        may = np.flatnonzero((keys >= 0) & (((first == 1) & (second == 2)) | ((first == 3) & (left == right))))
+        may = np.flatnonzero(((first == 1) & (second == 2)) | ((first == 3) & (left == right)))
         place = np.searchsorted(pairs, keys[may])
         place[place == len(pairs)] = 0
         own = pairs[place] == keys[may]
-        at = np.zeros(len(keys), np.int64)
-        at[may[own]] = place[own]
-        hit = np.zeros(len(keys), bool)
-        hit[may[own]] = True
-        same = hit & (left == right)
-        if same.any():  # every second place of a run
-            places = np.flatnonzero(same)
+        hit, made = near[may[own]], place[own]
+        same = np.flatnonzero(left[may[own]] == right[may[own]])
+        if len(same):  # every second place of a run
+            places = hit[same]
             run = np.r_[0, np.cumsum(np.diff(places) > 1)]
-            hit[places[(places - places[np.searchsorted(run, run)]) % 2 == 1]] = False
+            odd = same[(places - places[np.searchsorted(run, run)]) % 2 == 1]
+            hit, made = np.delete(hit, odd), np.delete(made, odd)
         sequence = sequence.copy()
-        sequence[:-1][hit] = symbols + at[hit]
-        gone = np.r_[False, hit]
-        sequence = sequence[~gone]
+        sequence[hit] = symbols + made
+        live = np.zeros(len(sequence), bool)
+        live[near] = True
+        kept = np.ones(len(sequence), bool)
+        kept[hit + 1] = False
+        sequence, live = sequence[kept], live[kept][:-1]
+        new = sequence >= symbols
+        live |= new[:-1] | new[1:]
         rules.append(np.stack([pairs >> 31, pairs & ((1 << 31) - 1)], axis=1))
         symbols += len(pairs)
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)), sequence
