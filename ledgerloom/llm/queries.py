@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, counts, kneser, leaks, lines, mixing, near, neighbours, repair, toxic
+from ledgerloom.llm import bytelevel, chat, counts, kneser, leaks, lines, mixing, near, neighbours, repair, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -113,3 +113,14 @@ def op7_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.scored(docs, kneser.train(docs.filter("NOT held_out"))).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 ORACLES["op9_chat"] = chat.CHAT_SQL
+
+
+@query
+def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document, and its bytes decoded from them."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", bytelevel.encoded(F.col("text"), ranks).alias("coded"))
+    return docs.select(
+        "doc_id", (F.octet_length("coded.ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2(bytelevel.decoded(F.col("coded"), ranks), 256).alias("decoded_sha256"))
