@@ -10,19 +10,18 @@ one look a distinct slice.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Text bytes that are scanned at once; cache of pieces in bytes, and the longest piece in it.
-CHUNK_BYTES, CACHE_BYTES, LONGEST = 1 << 22, 1 << 26, 256
-
-CODED = "struct<ids: binary, ends: binary>"
+CHUNK_BYTES, CACHE_BYTES, LONGEST = 1 << 20, 1 << 26, 256
+#: Ids of a block whose place in the text is kept.
+BLOCK = 64
 
 LETTER, E, L, RV, STMD, DIGIT, MARK, OTHER, SPACE, BLANK = range(10)
 #: Added to the class of a text's first character; after the last text.
@@ -106,12 +105,12 @@ def _states(kinds: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _kind_of() -> np.ndarray:
     """Class of each code point; what is a letter, digit or blank is asked of the library."""
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     single = {bytes([i]): i for i in range(256)}
     kind = np.full(0x110000, OTHER, np.uint8)
     for pattern, value in ((r"\p{L}", LETTER), (r"\p{N}", DIGIT), (r"\s", BLANK)):
         asked = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-        kept = bytes(asked.encode_ordinary("".join(points))).decode()
+        kept = bytes(asked.encode_ordinary(points)).decode()
         kind[np.frombuffer(kept.encode("utf-32-le"), np.uint32)] = value
     for chars, value in (("e", E), ("l", L), ("rv", RV), ("stmd", STMD), ("'", MARK), (" ", SPACE)):
         kind[[ord(c) for c in chars]] = value
@@ -144,19 +143,19 @@ class Pieces(dict):
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        # The library merges the pairs of one slice; it is never given a text to split.
+        self.merger = tiktoken.Encoding("slices", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.held = 0
-        size = max(self.ranks.values()) + 1
-        by_id = [b""] * size
-        for piece, rank in self.ranks.items():
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
             by_id[rank] = piece
         self.lengths = np.array([len(p) for p in by_id], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        rank = self.ranks.get(piece)
-        ids = self.merged(piece) if rank is None else (rank,)
+        ids = tuple(self.merger.encode_ordinary(piece.decode()))
         if len(piece) <= LONGEST:
             self.held += 200 + len(piece) + 8 * len(ids)
             if self.held > CACHE_BYTES:
@@ -165,45 +164,8 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
-    def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Ids after joining the neighbours of lowest rank, the first of equals, while any join is known.
-
-        A heap holds the joins on offer, so a slice of n bytes takes n log n steps.
-        """
-        ranks, n = self.ranks, len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        offers: list[tuple[int, int, int]] = []
-
-        def offer(at: int) -> None:
-            middle = after[at]
-            if middle < n and (rank := ranks.get(piece[at:after[middle]])) is not None:
-                offers.append((rank, at, after[middle])) if heap is None else heapq.heappush(heap, (rank, at, after[middle]))
-
-        heap = None
-        for at in range(n):
-            offer(at)
-        heap = offers
-        heapq.heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            _, at, end = heapq.heappop(heap)
-            if gone[at] or after[at] == n or after[after[at]] != end:
-                continue  # one of its sides has been joined with another meanwhile
-            gone[after[at]] = 1
-            after[at] = end
-            if end < n:
-                before[end] = at
-            offer(at)
-            if at:
-                offer(before[at])
-        ids, at = [], 0
-        while at < n:
-            ids.append(ranks[piece[at:after[at]]])
-            at = after[at]
-        return tuple(ids)
-
     def encoded(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, the byte each one ends at, and the number of ids before each text, of texts in one buffer."""
+        """Ids, the byte each one begins at, and the number of ids before each text, of texts in one buffer."""
         if not len(data):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(starts), np.int64)
         filled = np.append(starts[1:], len(data)) > starts
@@ -218,18 +180,16 @@ class Pieces(dict):
         upto = np.cumsum(counts)
         ids = flat[np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - counts), counts)]
         ahead = np.append(0, upto)[np.searchsorted(begin, starts)]
-        return ids, np.cumsum(self.lengths[ids]), ahead
+        lengths = self.lengths[ids]
+        return ids, np.cumsum(lengths) - lengths, ahead
 
-    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
-        """The bytes of ids that end at ``ends``, put in their places at once."""
-        if not len(ids):
-            return b""
+    def decoded(self, ids: np.ndarray, starts: np.ndarray) -> bytes:
+        """The bytes of ids, all put in their places at once; the blocks must begin where was noted."""
         sizes = self.lengths[ids]
-        places = ends - sizes
-        out = np.empty(ends[-1] - places[0], np.uint8)
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out[np.repeat(places - places[0], sizes) + within] = self.bytes[np.repeat(self.begins[ids], sizes) + within]
-        return out.tobytes()
+        places = np.cumsum(sizes) - sizes
+        if not np.array_equal(places[::BLOCK], starts - starts[:1]):
+            raise ValueError("the ids do not fit their places in the text")
+        return self.bytes[np.repeat(self.begins[ids] - places, sizes) + np.arange(sizes.sum())].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -238,8 +198,8 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _chunks(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, starts) of runs of texts of about ``size`` bytes; a longer text is a run of its own."""
+def _chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, bytes, starts) of runs of texts of about ``size`` bytes; a longer text is a run of its own."""
     wide = pa.types.is_large_string(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     body = texts.buffers()[2]
@@ -247,37 +207,42 @@ def _chunks(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray
     first = 0
     while first < len(texts):
         last = max(int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1, first + 1)
-        yield data[offsets[first]:offsets[last]], offsets[first:last] - offsets[first]
+        yield first, data[offsets[first]:offsets[last]], offsets[first:last] - offsets[first]
         first = last
 
 
-def _packed(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def encoded(docs: DataFrame, ranks: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row``, a struct of the columns in ``keep`` (all), and ``coded``, the ids of the text.
 
+    ``coded.ids`` holds a text's ids and ``coded.starts`` the byte of the text at
+    which ids 0, 64, 128 and so on begin, both as little-endian unsigned 32-bit
+    integers: there are ``octet_length(coded.ids) / 4`` ids, and ``run_of`` takes
+    some. ``ranks`` is the path of a file of ranks, present on every worker. A text
+    is split by the rules of the vocabulary's pattern, without special tokens.
 
-def encoded(text: Column, ranks: str) -> Column:
-    """Struct of a text's ids and of the byte of the text at which each id ends.
-
-    Both are binaries of little-endian unsigned 32-bit integers, so ids count
-    ``octet_length(ids) / 4`` and a run of them is a substring. ``ranks`` is the
-    path of a file of ranks, present on every worker. The text is split by the
-    rules of the vocabulary's pattern, without special tokens; whole texts of any
-    length are encoded. A null text is empty; an empty text has no ids; equal texts
-    have equal ids. Being a column, it disturbs no other column and no empty table.
+    Whole texts of any length are encoded, a batch of them in runs of bounded size.
+    A null text is empty; an empty text has no ids; equal texts have equal ids and
+    repeated rows stay. As the row is a struct, no column name can clash. An empty
+    table gives no row.
     """
-    @F.arrow_udf(CODED)
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    rows = docs.select(row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(ranks)
-        for texts in batches:
-            ids_out, ends_out = [], []
-            for data, starts in _chunks(texts, CHUNK_BYTES):
-                ids, ends, ahead = coder.encoded(data, starts)
-                for i, (a, b) in enumerate(zip(ahead, [*ahead[1:], len(ids)])):
-                    ids_out.append(ids[a:b].astype("<u4").tobytes())
-                    ends_out.append((ends[a:b] - starts[i]).astype("<u4").tobytes())
-            yield pa.StructArray.from_arrays([_packed(ids_out), _packed(ends_out)], ["ids", "ends"])
+        for batch in batches:
+            for first, data, starts in _chunks(batch.column("text"), CHUNK_BYTES):
+                ids, places, ahead = coder.encoded(data, starts)
+                ids, places = ids.astype("<u4"), places.astype(np.int64)
+                spans = list(zip(ahead, [*ahead[1:], len(ids)]))
+                coded = pa.StructArray.from_arrays([
+                    pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([(places[a:b:BLOCK] - at).astype("<u4").tobytes() for (a, b), at in zip(spans, starts)], pa.binary()),
+                ], ["ids", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(starts)), coded], ["row", "coded"])
 
-    return encode(F.coalesce(text, F.lit("")))
+    schema = T.StructType([rows.schema["row"], T.StructField("coded", T.StructType.fromDDL("ids binary, starts binary"))])
+    return rows.mapInArrow(encode, schema)
 
 
 def decoded(coded: Column, ranks: str) -> Column:
@@ -285,17 +250,17 @@ def decoded(coded: Column, ranks: str) -> Column:
     @F.arrow_udf("binary")
     def decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         coder = pieces(ranks)
-        for ids, ends in batches:
-            yield _packed([
-                coder.decoded(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(e.as_buffer(), "<u4").astype(np.int64))
-                for i, e in zip(ids, ends)])
+        for ids, starts in batches:
+            yield pa.array([
+                coder.decoded(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(s.as_buffer(), "<u4").astype(np.int64))
+                for i, s in zip(ids, starts)], pa.binary())
 
     none = F.lit(b"")
-    return decode(F.coalesce(coded["ids"], none), F.coalesce(coded["ends"], none))
+    return decode(F.coalesce(coded["ids"], none), F.coalesce(coded["starts"], none))
 
 
-def run_of(coded: Column, first: int | Column, count: int | Column) -> Column:
-    """``count`` ids from the ``first`` on (0 is the first of all), to be decoded without the rest."""
-    whole = lambda c: c if isinstance(c, Column) else F.lit(c)
-    at, size = (whole(first) * 4 + 1).cast("int"), (whole(count) * 4).cast("int")
-    return F.struct(F.substring(coded["ids"], at, size).alias("ids"), F.substring(coded["ends"], at, size).alias("ends"))
+def run_of(coded: Column, block: int, blocks: int = 1) -> Column:
+    """``blocks`` blocks of 64 ids from a block on (0 is the first), to be decoded without the rest."""
+    return F.struct(
+        F.substring(coded["ids"], block * BLOCK * 4 + 1, blocks * BLOCK * 4).alias("ids"),
+        F.substring(coded["starts"], block * 4 + 1, blocks * 4).alias("starts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bytelevel, chat, counts, kneser, leaks, lines, mixing, near, neighbours, repair, toxic
+from ledgerloom.llm import bytelevel, chat, counts, kneser, leaks, lines, merkle, mixing, near, neighbours, repair, toxic
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -119,8 +119,23 @@ ORACLES["op9_chat"] = chat.CHAT_SQL
 def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of every document, and its bytes decoded from them."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", bytelevel.encoded(F.col("text"), ranks).alias("coded"))
-    return docs.select(
-        "doc_id", (F.octet_length("coded.ids") / 4).cast("bigint").alias("n_tokens"),
+    made = bytelevel.encoded(table(spark, sf_dir, "documents"), ranks, keep=["doc_id"])
+    return made.select(
+        "row.doc_id", (F.octet_length("coded.ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("coded.ids", 256).alias("ids_sha256"),
         F.sha2(bytelevel.decoded(F.col("coded"), ranks), 256).alias("decoded_sha256"))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document against the root, a third of them with a lowered text."""
+    lowered = merkle.leaf_of(merkle.small_letters(F.col("text")))
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered)
+    made = merkle.manifest(table(spark, sf_dir, "documents"), claim)
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.col("claim"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLES["op13_manifest"] = merkle.MANIFEST_SQL

@@ -49,25 +49,33 @@ def test_every_character_between_others(library):
 
 def test_long_slices(library):
     rng = random.Random(3)
-    texts = ["a" * 50_000, "".join(rng.choices("abcdefgh", k=20_000)), " " * 9_999 + "x", "!?" * 8_000, "中" * 5_000, "\n" * 7_000]
+    texts = ["a" * 50_000, "".join(rng.choices("abcdefgh", k=20_000)), " " * 9_999 + "x", "!?" * 8_000, "中" * 5_000, "\n" * 7_000, "a" * 96, "ab" * 49]
     assert own(texts) == [library.encode_ordinary(t) for t in texts]
 
 
 def test_columns_encode_decode_and_decode_runs(spark, docs_of, library):
-    cases = [(1, "Hello  world, it's ümlaut 中文\n"), (2, None), (3, ""), (None, "null id"), (4, "x y " * 60_000), (4, "x y " * 60_000), (5, "it'l")]
-    docs = docs_of(cases, ids=3, ends="clash", coded=1.5)
-    coded = docs.withColumn("_c", bytelevel.encoded(F.col("text"), PATH))
+    cases = [(1, "Hello  world, it's ümlaut 中文\n"), (2, None), (3, ""), (None, "null id"), (4, "x y " * 600_000), (4, "x y " * 600_000), (5, "it'l")]
+    docs = docs_of(cases, ids=3, row="clash", coded=1.5)
+    coded = bytelevel.encoded(docs, PATH)
     got = coded.withColumns({
-        "back": bytelevel.decoded(F.col("_c"), PATH),
-        "part": bytelevel.decoded(bytelevel.run_of(F.col("_c"), 2, 3), PATH)}).collect()
+        "back": bytelevel.decoded(F.col("coded"), PATH),
+        "part": bytelevel.decoded(bytelevel.run_of(F.col("coded"), 2, 3), PATH)}).collect()
     assert len(got) == len(cases)
     for r in got:
-        text = r["text"] or ""
+        row, text = r["row"], r["row"]["text"] or ""
         want = library.encode_ordinary(text)
-        assert np.frombuffer(r["_c"]["ids"], "<u4").tolist() == want
-        assert bytes(r["back"]) == text.encode() and (r["ids"], r["ends"]) == (3, "clash")
-        assert bytes(r["part"]) == library.decode_bytes(want[2:5])
-    assert coded.limit(0).select(bytelevel.decoded(F.col("_c"), PATH)).count() == 0
+        assert np.frombuffer(r["coded"]["ids"], "<u4").tolist() == want
+        assert bytes(r["back"]) == text.encode() and (row["ids"], row["row"], row["coded"]) == (3, "clash", 1.5)
+        assert bytes(r["part"]) == library.decode_bytes(want[128:320])
+        starts = np.frombuffer(r["coded"]["starts"], "<u4").tolist()
+        assert starts[:50] == [len(library.decode_bytes(want[:n])) for n in range(0, min(len(want), 3_200), 64)]
+    assert bytelevel.encoded(docs.limit(0), PATH, keep=["doc_id"]).select("row.*").count() == 0
+
+
+def test_wrong_places_are_noticed():
+    coder = bytelevel.pieces(PATH)
+    with pytest.raises(ValueError):
+        coder.decoded(np.array([1, 2]), np.array([0, 5]))
 
 
 def test_query(spark, docs_of, library, tmp_path):
