@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bytelevel, chat, counts, kneser, leaks, lines, merkle, mixing, near, neighbours, repair, toxic
+from ledgerloom.llm import bytelevel, chat, counts, kneser, leaks, lines, merkle, mixing, near, neighbours, repair, toxic, whitening
 from ledgerloom.llm.shared import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -139,3 +139,12 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_manifest"] = merkle.MANIFEST_SQL
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the four leading components of the distinct ones."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return made.select(
+        "row.vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened",
+        "explained", "identity_error")
