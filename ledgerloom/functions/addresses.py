@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# These patterns and the limit decide what counts as a reference,
+# These patterns decide what counts as a reference,
 # so they must read formulas the same way the audited workbooks are read today.
 STRING_LITERAL = r'"[^"]*"'
 CELL_REFERENCE = (
@@ -15,7 +15,6 @@ CELL_REFERENCE = (
     r"(?![A-Za-z0-9_(])"
 )
 TAB_REFERENCE = r"'([^']+)'!|([A-Za-z_][A-Za-z0-9_.]*)!"
-MAX_EXPANDED_AREA = 5000
 
 
 def normal_ref(ref: Column) -> Column:

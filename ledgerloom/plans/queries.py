@@ -366,7 +366,7 @@ def _large_book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.lit("orders").alias("report_id"), F.lit("orders").alias("workbook_id"),
         F.lit(0).alias("output_pos"), F.lit("Book!C1").alias("output_ref"),
     )
-    return cells, graph.cell_edges(cells), outputs
+    return cells, graph.formula_edges(cells), outputs
 
 
 @query
@@ -478,7 +478,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, edges = _graph(spark, sf_dir)
     found = detect.all_findings(c.cells, edges, c.named_ranges, c.tabs)
-    return trace.finding_cells(found, c.cells, edges).select("workbook_id", "finding_id", "node", "depends_on")
+    return trace.finding_cells(found, c.cells, graph.cell_edges(c.cells)).select("workbook_id", "finding_id", "node", "depends_on")
 
 
 def _event_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -517,10 +517,10 @@ def _stored(c):
 
 
 def _graph(spark: SparkSession, sf_dir: str):
-    """The corpus with its cell table and edges written once, as later steps read
-    them several times."""
+    """The corpus with its cell table and formula edges written once, as later steps
+    read them several times."""
     c = _stored(order_corpus(spark, sf_dir))
-    return c, cut(graph.cell_edges(c.cells))
+    return c, cut(graph.formula_edges(c.cells))
 
 
 def _rebuilt(spark: SparkSession, sf_dir: str):
@@ -539,8 +539,8 @@ def derivation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def derivation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, done = _rebuilt(spark, sf_dir)
-    steps = rebuild.derivations(done, edges)
+    _, _, done = _rebuilt(spark, sf_dir)
+    steps = rebuild.derivations(done)
     return steps.groupBy("workbook_id", "root_ref").agg(
         F.max("depth").alias("depth"), F.count("formula").alias("formulas"),
         F.sum("depends_on").alias("depends_on"), F.count("reason").alias("unsupported"),
@@ -897,7 +897,8 @@ def disclosure_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def workbook_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the Summary and Rates tabs of every order workbook."""
-    c, edges = _graph(spark, sf_dir)
+    c = _stored(order_corpus(spark, sf_dir))
+    edges = cut(graph.cell_edges(c.cells))
     requests = c.tabs.filter("tab_key != 'Lines'").select("workbook_id", "tab_key")
     scope = disclosure.cells_in_scope(requests, c.cells, edges, c.outputs)
     found = disclosure.manifest(requests, c.cells, scope, c.outputs, c.named_ranges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,10 +25,11 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Write ``df`` as a table in the shared checkpoint folder and read it: lineage ends here.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; without it
-    this is an error, as executors could not see a folder of the driver.
+    this is an error, as executors could not see a folder of the driver. A table
+    knows its size, so what is small is joined by broadcast and nothing else is.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -35,4 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
         if named is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    folder = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
