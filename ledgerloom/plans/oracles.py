@@ -344,8 +344,17 @@ ORACLES = {
       UNION ALL SELECT wb, 'Summary', CASE WHEN ring THEN 3 ELSE 1 END, CASE WHEN ring THEN 3 ELSE 1 END FROM kinds
       UNION ALL SELECT wb, 'Rates', 2, 0 FROM kinds""",
     "output_labels": f"WITH {VALUES} SELECT wb AS workbook_id, ref AS output_ref, label FROM outs",
-    "large_range_total": """SELECT 'orders' AS workbook_id, 'Book!C1' AS root, count(*) + 1 AS chain_nodes, 100.0 AS coverage_pct,
-        round(sum(o_totalprice) + sum(CASE WHEN o_orderkey <= 2 THEN o_totalprice ELSE 0 END), 2) AS value FROM orders""",
+    "large_range_total": """WITH rows AS (
+        SELECT o_orderkey * 3 // 1000000 AS part, o_orderkey * 3 % 1000000 + 1 AS r, o_totalprice AS v FROM orders),
+      books AS (
+        SELECT part, last, note, sum(CASE WHEN r <= last THEN v ELSE 0 END) + sum(CASE WHEN r <= 3 THEN v ELSE 0 END) AS total
+        FROM rows, (VALUES (4999), (5000), (5001), (1000000)) s(last), (VALUES (TRUE), (FALSE)) k(note) GROUP BY ALL)
+      SELECT 'orders-' || part || '-' || last || CASE WHEN note THEN '-note' ELSE '-plain' END AS workbook_id, 'Book!C1' AS root,
+             CAST(last + 1 AS BIGINT) AS chain_nodes, CAST(CASE WHEN note THEN last ELSE last + 1 END AS BIGINT) AS supported_nodes,
+             round(CASE WHEN note THEN 100.0 * last / (last + 1) ELSE 100.0 END, 6) AS coverage_pct,
+             CASE WHEN NOT note THEN round(total, 2) END AS value FROM books""",
+    "running_balances": """SELECT 'customer-' || o_custkey AS workbook_id, 'Book!B' || count(*) AS root,
+             2 * count(*) AS chain_nodes, 100.0 AS coverage_pct, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY o_custkey""",
     "part_tree_reach": """WITH RECURSIVE walk AS (
         SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part
         UNION SELECT root, node // 2, depth + 1 FROM walk WHERE node > 0)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.functions.addresses import a1
 from ledgerloom.functions.amounts import delta, delta_pct, money, signed_amount, verdict
 from ledgerloom.operators import cells as C
 from ledgerloom.operators import detect, disclosure, events, evidence, graph, match, rebuild, report
@@ -341,42 +342,73 @@ def output_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.output_labels(c.outputs, c.cells).select("workbook_id", "output_ref", "label")
 
 
-def _large_book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All orders as one workbook: a single column with a total far below a cap."""
-    orders = table(spark, sf_dir, "orders")
-    last = (orders.agg(F.max("o_orderkey").alias("last")))
-    head = [F.lit("orders").alias("workbook_id"), F.lit(0).alias("tab_index"), F.lit("Book").alias("tab_key")]
-    tail = [
-        F.lit(None).cast("string").alias("value_text"), F.lit(None).cast("boolean").alias("value_bool"),
-        F.lit("number").alias("data_type"), F.lit(False).alias("is_stale"),
-    ]
-    rows = orders.select(
-        *head, F.lit(2).alias("col"), (F.col("o_orderkey") + 1).cast("int").alias("row"),
-        F.lit(None).cast("string").alias("formula"), F.col("o_totalprice").alias("value_num"), *tail,
-    )
-    total = last.select(
-        *head, F.lit(3).alias("col"), F.lit(1).alias("row"),
-        F.format_string("=SUM(B1:B%d)+SUM(B1:B3)", F.col("last") + 1).alias("formula"),
-        F.lit(0.0).alias("value_num"), *tail,
-    )
-    cells = rows.unionByName(total).withColumn(
-        "cell_ref", F.concat(F.when(F.col("col") == 2, "B").otherwise("C"), F.col("row").cast("string"))
-    ).withColumn("node", F.concat("tab_key", F.lit("!"), "cell_ref"))
-    outputs = last.select(
-        F.lit("orders").alias("report_id"), F.lit("orders").alias("workbook_id"),
-        F.lit(0).alias("output_pos"), F.lit("Book!C1").alias("output_ref"),
-    )
+#: Lengths of the summed ranges; the last is longer than most tables here fill.
+RANGE_LENGTHS = (4_999, 5_000, 5_001, 1_000_000)
+
+
+def _plain_cells(rows: DataFrame) -> DataFrame:
+    """Cells of one tab from workbook_id, col, row, formula, value_num, value_text."""
+    return rows.select(
+        "workbook_id", F.lit(0).alias("tab_index"), F.lit("Book").alias("tab_key"), "col", F.col("row").cast("int").alias("row"),
+        "formula", F.col("value_num").cast("double").alias("value_num"), "value_text",
+        F.lit(None).cast("boolean").alias("value_bool"),
+        F.when(F.col("value_text").isNotNull(), "text").otherwise("number").alias("data_type"), F.lit(False).alias("is_stale"),
+    ).withColumn("cell_ref", a1(F.col("col"), F.col("row"))).withColumn("node", F.concat("tab_key", F.lit("!"), "cell_ref"))
+
+
+def _large_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders in every third row of a column, a million rows a book, once for each length of
+    a total over that column; half of the books hold a note between the numbers."""
+    none = F.lit(None).cast("string")
+    at = F.col("o_orderkey") * 3
+    kinds = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("last"), F.lit(t).alias("note")) for n in RANGE_LENGTHS for t in (False, True)]))
+    rows = table(spark, sf_dir, "orders").select(
+        F.floor(at / 1_000_000).alias("part"), (at % 1_000_000 + 1).alias("row"), "o_totalprice", kinds.alias("k"))
+    book = F.concat_ws("-", F.lit("orders"), F.col("part").cast("string"), F.col("k.last").cast("string"), F.when(F.col("k.note"), "note").otherwise("plain"))
+    rows = rows.select(book.alias("workbook_id"), "k", "row", "o_totalprice")
+    books = rows.select("workbook_id", "k.last", "k.note").distinct()
+    head = books.select("workbook_id", F.inline(F.array_compact(F.array(
+        F.struct(F.lit(3).alias("col"), F.lit(1).alias("row"), F.format_string("=SUM(B1:B%d)+SUM(B1:B3)", "last").alias("formula"),
+                 F.lit(0.0).alias("value_num"), none.alias("value_text")),
+        F.when(F.col("note"), F.struct(F.lit(2).alias("col"), F.lit(3).alias("row"), none.alias("formula"),
+                                       F.lit(None).cast("double").alias("value_num"), F.lit("a note").alias("value_text")))))))
+    cells = _plain_cells(rows.select(
+        "workbook_id", F.lit(2).alias("col"), F.col("row").cast("int").alias("row"), none.alias("formula"),
+        F.col("o_totalprice").alias("value_num"), none.alias("value_text")).unionByName(head))
+    outputs = books.select(
+        F.col("workbook_id").alias("report_id"), "workbook_id", F.lit(0).alias("output_pos"), F.lit("Book!C1").alias("output_ref"))
     return cells, graph.formula_edges(cells), outputs
 
 
 @query
 def large_range_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, edges, outputs = _large_book(spark, sf_dir)
-    edges = cut(edges)
-    done = rebuild.rebuild(cells, edges, outputs)
+    cells, edges, outputs = _large_books(spark, sf_dir)
+    done = rebuild.rebuild(cut(cells), cut(edges), outputs)
     return rounded(
-        done.summary.select("workbook_id", "root", "chain_nodes", "coverage_pct", "value"), 2, "value"
-    )
+        done.summary.select("workbook_id", "root", "chain_nodes", "supported_nodes", "coverage_pct", "value"), 2, "value"
+    )
+
+
+@query
+def running_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of a customer as one running balance, rebuilt from its last cell."""
+    orders = numbered(
+        table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"),
+        ["o_custkey"], [F.floor(F.col("o_orderkey") / 4096)], [F.col("o_orderkey")], "row")
+    book, row = F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")), F.col("row").cast("string")
+    none = F.lit(None).cast("string")
+    formula = F.when(F.col("row") == 1, F.lit("=A1")).otherwise(
+        F.concat(F.lit("=B"), (F.col("row") - 1).cast("string"), F.lit("+A"), row))
+    orders = orders.withColumn("workbook_id", book)
+    cells = cut(_plain_cells(orders.select("workbook_id", "row", F.inline(F.array(
+        F.struct(F.lit(1).alias("col"), none.alias("formula"), F.col("o_totalprice").alias("value_num"), none.alias("value_text")),
+        F.struct(F.lit(2).alias("col"), formula.alias("formula"), F.lit(0.0).alias("value_num"), none.alias("value_text")))))))
+    outputs = orders.groupBy("workbook_id").agg(F.max("row").alias("last")).select(
+        F.col("workbook_id").alias("report_id"), "workbook_id", F.lit(0).alias("output_pos"),
+        F.concat(F.lit("Book!B"), F.col("last").cast("string")).alias("output_ref"))
+    done = rebuild.rebuild(cells, cut(graph.formula_edges(cells)), outputs)
+    return rounded(done.summary.select("workbook_id", "root", "chain_nodes", "coverage_pct", "value"), 2, "value")
 
 
 def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
