@@ -28,8 +28,10 @@ class WordIds(dict):
     """Ids of each stretch of text without blanks, remembered for a bounded number.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
-    those of its stretches in order. A stretch of letters with a comma or full stop
-    after it has the ids of both, and capital ASCII letters those of small ones.
+    those of its stretches in order. A stretch of letters, small ones too, with a comma
+    or full stop after it has the ids of both, and capital ASCII letters those of small
+    ones. A stretch that may hold a special token is never changed: the special
+    tokens are matched as they are written.
     """
 
     LIMIT = 1 << 20
@@ -37,13 +39,17 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given each core its task
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
+    def _parts(self, word: str) -> tuple[str, ...]:
+        if any(s in word for s in self.special):
+            return (word,)
         if word.isascii():
-            word = word.lower()
-        return (word[:-1], word[-1]) if word[-1] in ".," and word[:-1].isalpha() else (word,)
+            low = word.lower()
+            word = word if any(s in low for s in self.special) else low
+        # Lowering may leave marks that are no letters, to which the tokenizer joins what follows.
+        letters = word[:-1].isalpha() and word[:-1].lower().isalpha()
+        return (word[:-1], word[-1]) if word[-1] in ".," and letters else (word,)
 
     def learn(self, words: set[str]) -> None:
         new = {w for w in words if w not in self}
