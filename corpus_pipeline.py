@@ -13,26 +13,38 @@ from ledgerloom.llm import leaks, mixing, near, repair, toxic
 from ledgerloom.llm.shared import hash60, stored, table
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """What the operators read, and each whole row as one struct that no name can clash with."""
+    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; without labels all stay."""
-    scored = toxic.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 0").select(docs.columns)
+    """Documents that the toxicity model does not reject; without labels all stay.
+
+    Null and empty texts have a low score and stay; repeated rows share their fate.
+    """
+    scored = toxic.scored(_held(docs), table(spark, sf_dir, "labels"))
+    return scored.filter("predicted = 0").select("_row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each near-duplicate group.
 
-    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    Of rows that share a doc_id one stays, the same in every run: the first by digest
+    of its text and then of all columns. Rows without doc_id all stay, and texts
+    without words are copies of nothing.
     """
-    kept = near.near_duplicates(docs, width=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    kept = near.near_duplicates(docs.select("doc_id", "text"), width=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    held = _held(docs).join(kept, "doc_id", "left_semi")
+    order = F.struct(F.sha2("text", 256), F.xxhash64(F.to_json("_row")))
+    named = held.groupBy("doc_id").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = leaks.with_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select(docs.columns)
+    """Documents that hold no benchmark item; null and empty texts hold none."""
+    found = leaks.with_leaks(_held(docs), table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select("_row.*")
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +52,13 @@ def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A fraction of a copy becomes a whole one with that chance, by a hash of the row,
     so a source's written words come near its target and no document is written
-    more than the mix's repeats.
+    more than the mix's repeats. Texts without words are not taken.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mixing.mixed(docs, keep=rest)
-    chance = hash60(F.lit("copies"), F.col("doc_id"), F.xxhash64("text")) / F.lit(float(1 << 60))
+    mixed = mixing.mixed(_held(docs), keep=["_row"])
+    chance = hash60(F.lit("copies"), F.col("doc_id"), F.xxhash64("_row.text")) / F.lit(float(1 << 60))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)
     return mixed.withColumn("_copies", F.least(copies, F.lit(mixing.REPEATS)).cast("int")).filter("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
