@@ -36,7 +36,8 @@ def blocks(first: Column, last: Column) -> Column:
         a, b, x, y = begin[level], end[level], begin[level + 1], end[level + 1]
         edges = F.concat(run(level, a, x * 64), made, run(level, y * 64, b))
         made = F.when(x < y, edges).otherwise(run(level, a, b))
-    return made
+    alone = F.array(F.struct(begin[0].alias("row"), F.lit(0).alias("level"), begin[0].alias("block")))
+    return F.when(first == last, alone).otherwise(made)  # most references are single cells
 
 
 def by_column(rects: DataFrame) -> DataFrame:

@@ -355,6 +355,12 @@ ORACLES = {
              CASE WHEN NOT note THEN round(total, 2) END AS value FROM books""",
     "running_balances": """SELECT 'customer-' || o_custkey AS workbook_id, 'Book!B' || count(*) AS root,
              2 * count(*) AS chain_nodes, 100.0 AS coverage_pct, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY o_custkey""",
+    "shared_cycles": """WITH s AS (
+        SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS no,
+               count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+      SELECT 'nation-' || k AS workbook_id, CAST(place AS INTEGER) AS place,
+             string_agg('S' || lpad(CAST(no AS VARCHAR), 7, '0'), ' ' ORDER BY no) AS members, count(*) AS size
+      FROM s, (VALUES (1), (2)) p(place) WHERE place = 1 OR (no != 2 AND n >= 3) GROUP BY k, place""",
     "part_tree_reach": """WITH RECURSIVE walk AS (
         SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part
         UNION SELECT root, node // 2, depth + 1 FROM walk WHERE node > 0)

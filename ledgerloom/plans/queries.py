@@ -6,7 +6,7 @@ tables whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.functions.addresses import a1
 from ledgerloom.functions.amounts import delta, delta_pct, money, signed_amount, verdict
@@ -463,6 +463,26 @@ def cycle_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def shared_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of each nation's suppliers, which form a ring with a short cut from the first to the
+    third: two cycles that share their first member, in order of their sorted members."""
+    suppliers = numbered(
+        table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"),
+        ["s_nationkey"], [F.floor(F.col("s_suppkey") / 4096)], [F.col("s_suppkey")], "no")
+    sizes = suppliers.groupBy("s_nationkey").agg(F.max("no").alias("n"))
+    no, n = F.col("no"), F.col("n")
+    onward = F.array(F.when(no < n, no + 1).otherwise(F.lit(1)), F.when((no == 1) & (n >= 3), F.lit(3)))
+    name = lambda c: F.format_string("S%07d", c)
+    edges = cut(suppliers.join(sizes, "s_nationkey").withColumn("to", F.explode(F.array_distinct(F.array_compact(onward)))).select(
+        F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("workbook_id"), name(no).alias("src"), name(F.col("to")).alias("dst")))
+    cycles = graph.elementary_cycles(edges, graph.components(edges))
+    place = F.row_number().over(Window.partitionBy("workbook_id").orderBy(F.array_sort("members")))
+    return cycles.select(
+        "workbook_id", place.alias("place"), F.array_join("members", " ").alias("members"),
+        F.size("members").cast("bigint").alias("size"))
+
+
 # -- findings ----------------------------------------------------------------
 
 
