@@ -95,7 +95,7 @@ def output_errors(reports: DataFrame, outputs: DataFrame, cells: DataFrame) -> D
     )
     none = reports.join(outputs, "report_id", "left_anti").select(
         "report_id", F.lit(None).cast("string").alias("output_ref"),
-        F.lit("no authoritative outputs designated").alias("problem"),
+        F.lit("the report names no output").alias("problem"),
     )
     return unknown.unionByName(none)
 

@@ -158,20 +158,20 @@ chain_rows AS (
 LITERALS = """
 literals AS (
   SELECT wb, 0 AS tab, 'Lines' AS tab_key, 'D' || rn AS cell_ref, rn AS r, 4 AS c, 0 AS pos,
-         'Hardcoded literal 0.95 embedded in formula' AS description
+         'Number 0.95 written into a formula' AS description
   FROM kinds JOIN lines USING (k) WHERE returned
   UNION ALL
-  SELECT wb, 0, 'Lines', 'B' || (n + 1), n + 1, 2, 0, 'Hardcoded literal 4 embedded in formula' FROM kinds WHERE lookup),
+  SELECT wb, 0, 'Lines', 'B' || (n + 1), n + 1, 2, 0, 'Number 4 written into a formula' FROM kinds WHERE lookup),
 conflicts AS (
   SELECT wb, 0 AS tab, 'Lines' AS tab_key, 'A1' AS cell_ref, 0 AS r, 0 AS c, 0 AS pos,
-         'Named range ''rate'' has inconsistent values across tabs: Lines=1.1, Summary=1.2' AS description
+         'Named range ''rate'' differs from tab to tab: Lines=1.1, Summary=1.2' AS description
   FROM kinds WHERE k % 3 = 0),
 skipping AS (
   SELECT wb, 0 AS tab, 'Lines' AS tab_key, 'B' || (n + 1) AS cell_ref, n + 1 AS r, 2 AS c, 0 AS pos,
-         'SUM formula skips rows: D2' AS description FROM kinds WHERE skips),
+         'A SUM leaves out cells: D2' AS description FROM kinds WHERE skips),
 rings AS (
   SELECT wb, 1 AS tab, 'Summary' AS tab_key, 'C1' AS cell_ref, 1 AS r, 0 AS c, 0 AS pos,
-         'Circular reference between cells: Summary!C1 -> Summary!D1 -> Summary!C1' AS description FROM kinds WHERE ring),
+         'Cells depend on each other in a ring: Summary!C1 -> Summary!D1 -> Summary!C1' AS description FROM kinds WHERE ring),
 found AS (
   SELECT wb, 'warning' AS severity, 2 AS sev, 1 AS det, * EXCLUDE (wb) FROM literals
   UNION ALL SELECT wb, 'blocker', 1, 2, * EXCLUDE (wb) FROM conflicts
@@ -312,9 +312,9 @@ ORACLES = {
              CASE WHEN k = 6 THEN '#DIV/0!' END AS error_type, formula IS NOT NULL AND (k = 0 OR manual) AS is_stale FROM raw""",
     "cell_warnings": f"""WITH {EVENT_CELLS}
       SELECT workbook_id, CASE k WHEN 0 THEN 'never_calculated' WHEN 2 THEN 'array_formula' WHEN 6 THEN 'formula_error' ELSE 'number_as_text' END AS kind,
-             node AS subject, node || ': ' || CASE k WHEN 0 THEN 'formula has no cached value (never recalculated)'
+             node AS subject, node || ': ' || CASE k WHEN 0 THEN 'formula whose result was never stored'
                WHEN 2 THEN 'array formula' WHEN 6 THEN 'formula error #DIV/0!'
-               ELSE 'number stored as text (''1,' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ''')' END AS message
+               ELSE 'digits kept as text (''1,' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ''')' END AS message
       FROM raw WHERE k IN (0, 2, 6, 7)""",
     "stale_cells": f"""WITH {EVENT_CELLS} SELECT workbook_id, node FROM raw WHERE formula IS NOT NULL AND (k = 0 OR manual)""",
     "tab_name_warnings": """WITH tabs AS (
@@ -475,7 +475,7 @@ ORACLES = {
       FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 OR o_orderstatus <> 'F'""",
     "output_errors": f"""WITH {ROWS}
       SELECT wb AS report_id, 'Lines!E' || n AS output_ref, 'does not exist in the workbook' AS problem FROM kinds WHERE k % 8 = 0
-      UNION ALL SELECT 'wb-' || o_orderkey, NULL, 'no authoritative outputs designated' FROM orders
+      UNION ALL SELECT 'wb-' || o_orderkey, NULL, 'the report names no output' FROM orders
       WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
     "ledger_lines": """SELECT CAST(o_custkey AS VARCHAR) AS report_id, 'REF-' || lpad(CAST(o_orderkey + 1 AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey + 1 AS VARCHAR))) AS INTEGER), '0') AS line_id,
         o_orderstatus || '-account' AS account_number, o_orderpriority AS label, 'EUR' AS currency, 'Not supplied' AS ledger_source,
@@ -555,7 +555,7 @@ ORACLES = {
       SELECT report_id, max(row_id) % 8 = 2 AS acknowledge_incomplete FROM log WHERE row_id % 4 = 2 GROUP BY 1""",
     "event_errors": """SELECT CAST(user_id AS VARCHAR) AS report_id, event_id AS row_id,
         CASE WHEN event_id % 11 = 0 THEN 'workbook_hash is missing' WHEN event_id % 13 = 0 THEN 'code_version is missing'
-             ELSE 'payload may not contain a ''context'' key' END AS problem
+             ELSE 'the key ''context'' is taken for the log''s own use' END AS problem
       FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 7 = 0""",
     "independence_statements": f"""WITH {EVENT_LOG},
       kept AS (SELECT report_id, event_type, gate, CASE WHEN CAST(report_id AS INTEGER) % 2 = 0 THEN ' reviewer 1' ELSE 'Reviewer B' END AS name,
