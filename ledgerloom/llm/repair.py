@@ -34,7 +34,9 @@ class WordIds(dict):
     tokens are matched as they are written.
     """
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 19
+    #: Longer stretches are not remembered, so the memory held is bounded.
+    LONGEST = 256
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given each core its task
@@ -63,13 +65,17 @@ class WordIds(dict):
         for word, ps in parts.items():
             made[word] = b"".join([made[p] if p in made else self[p] for p in ps])
         self.update((w, made[w]) for w in new)
+        self.long = {w for w in new if len(w) > self.LONGEST}
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
         split = [[] if not t else [t] if ODD.search(t) else t.split() for t in texts]
         self.learn(set().union(*split))
         end = np.array([END_ID], "<i4").tobytes()
-        return [np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<i4") for words in split]
+        ids = [np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<i4") for words in split]
+        for word in self.long:
+            del self[word]
+        return ids
 
 
 #: One for each tokenizer file, kept while a Python worker lives.
