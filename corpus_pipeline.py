@@ -13,9 +13,18 @@ from ledgerloom.llm import leaks, mixing, near, repair, toxic
 from ledgerloom.llm.shared import hash60, stored, table
 
 
+#: Columns that the operators read. The others travel in a struct, where no name can clash.
+READ = ("doc_id", "text", "source")
+
+
 def _held(docs: DataFrame) -> DataFrame:
-    """What the operators read, and each whole row as one struct that no name can clash with."""
-    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in READ]
+    return docs.select(*READ, F.struct(F.lit(0).alias("_"), *others).alias("_row"))
+
+
+def _freed(held: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows' own columns again, in their order."""
+    return held.select(*[F.col(c) if c in READ else F.col(f"_row.`{c}`") for c in columns])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +33,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have a low score and stay; repeated rows share their fate.
     """
     scored = toxic.scored(_held(docs), table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 0").select("_row.*")
+    return _freed(scored.filter("predicted = 0"), docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +45,16 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     kept = near.near_duplicates(docs.select("doc_id", "text"), width=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = _held(docs).join(kept, "doc_id", "left_semi")
-    order = F.struct(F.sha2("text", 256), F.xxhash64(F.to_json("_row")))
-    named = held.groupBy("doc_id").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
+    order = F.struct(F.sha2("text", 256), "source", F.xxhash64(F.to_json("_row")))
+    one = held.groupBy("doc_id").agg(F.min_by(F.struct("text", "source", "_row"), order).alias("one"))
+    named = _freed(one.select("doc_id", "one.*"), docs.columns)
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none."""
     found = leaks.with_leaks(_held(docs), table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select("_row.*")
+    return _freed(found.filter(F.size("leaks") == 0), docs.columns)
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +64,12 @@ def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     so a source's written words come near its target and no document is written
     more than the mix's repeats. Texts without words are not taken.
     """
-    mixed = mixing.mixed(_held(docs), keep=["_row"])
-    chance = hash60(F.lit("copies"), F.col("doc_id"), F.xxhash64("_row.text")) / F.lit(float(1 << 60))
+    mixed = mixing.mixed(_held(docs), keep=["text", "_row"])
+    chance = hash60(F.lit("copies"), F.col("doc_id"), F.xxhash64("text")) / F.lit(float(1 << 60))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)
-    return mixed.withColumn("_copies", F.least(copies, F.lit(mixing.REPEATS)).cast("int")).filter("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    copied = mixed.withColumn("_copies", F.least(copies, F.lit(mixing.REPEATS)).cast("int")).filter("_copies > 0").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return _freed(copied, docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
