@@ -82,7 +82,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def _without(text: Column, gone: Column) -> Column:
     """A text without the lines of the numbers ``gone``."""
-    lead = F.when(F.rlike(text, F.lit(r"\A[.!?\s]")), 1).otherwise(0)
+    # looked up for every line that goes, so in the first character, not in the text
+    lead = F.when(F.substring(text, 1, 1).isin(*(ENDS + BLANK)), 1).otherwise(0)
 
     def rest(pieces: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda at: at + lead))

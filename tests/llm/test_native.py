@@ -81,6 +81,14 @@ def test_passages_inside_one_document_and_odd_texts(spark, docs_of):
     assert lines.without_repeats(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["", " ", "\t", "\r", "\x0b", "\x0c", "\n", ".", "?!", "é", " é"])
+def test_any_first_character(spark, docs_of, lead):
+    own = "" if lead.strip(" \t\r\n\x0b\x0c.?!") == "" else "Own. "
+    text = lead + own + PASSAGE + "Last."
+    got = {r["doc_id"]: r for r in lines.without_repeats(docs_of([(1, PASSAGE), (2, text)])).collect()}
+    assert got[2]["text"] == lead + own + "Last." and got[2]["n_removed"] == 4
+
+
 # -- chat ----------------------------------------------------------------------
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
