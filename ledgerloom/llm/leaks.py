@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.llm.shared import stored
+
 K1, B = 1.2, 0.75
 #: Words of an index entry; a passage is two of them, half overlapping the next.
 SPAN = 64
@@ -74,13 +76,17 @@ class Shard:
         for t, (entries, impacts) in enumerate(zip(self.entries, self.impacts)):
             np.maximum.at(self.ranges[t], entries * self.ranges.shape[1] // len(owner), impacts)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All entries whose impacts over ``terms`` reach ``threshold``, by block-max WAND."""
+    def search(self, terms: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """All entries from ``low`` to before ``high`` whose impacts over ``terms`` reach ``threshold``.
+
+        By block-max WAND; without bounds, over all entries.
+        """
         found = []
-        at = {t: 0 for t in terms}
+        high = len(self.owner) if high is None else high
+        at = {t: int(np.searchsorted(self.entries[t], low)) if low else 0 for t in terms}
         live = list(terms)
         while True:
-            live = [t for t in live if at[t] < len(self.entries[t])]
+            live = [t for t in live if at[t] < len(self.entries[t]) and self.entries[t][at[t]] < high]
             live.sort(key=lambda t: self.entries[t][at[t]])
             bound, pivot = 0.0, -1
             for k, t in enumerate(live):
@@ -121,17 +127,18 @@ class Shard:
         starts = np.arange(0, max(len(found) - 3 * SPAN // 2, 1), SPAN // 2)
         ends = np.minimum(starts + 2 * SPAN, len(found))
         best: dict[int, float] = {}
-        for a, z in zip(starts, ends):
-            # no entry can get more than the sum of the highest impacts of its words
-            if total[z] - total[a] < threshold - 1e-9:
-                continue
-            here = np.unique(terms[a:z])
+        n = self.ranges.shape[1]
+        # no entry can get more than the sum of the highest impacts of its words
+        for k in np.flatnonzero(total[ends] - total[starts] >= threshold - 1e-9):
+            here = np.unique(terms[starts[k] : ends[k]])
+            highest = self.ranges[here]
             # nor in any range of entries more than the sum of their highest there
-            if self.ranges[here].sum(axis=0).max() < threshold - 1e-6:
-                continue
-            for entry, score in self.search(here[here >= 0].tolist(), threshold):
-                item = self.owner[entry]
-                best[item] = max(score, best.get(item, 0.0))
+            for part in np.flatnonzero(highest.sum(axis=0) >= threshold - 1e-6):
+                held = here[(here >= 0) & (highest[:, part] > 0)]
+                low, high = (-(-r * len(self.owner) // n) for r in (part, part + 1))
+                for entry, score in self.search(held.tolist(), threshold, low, high):
+                    item = self.owner[entry]
+                    best[item] = max(score, best.get(item, 0.0))
         out = []
         for item, score in best.items():
             question, answer = self.parts[item]
@@ -170,8 +177,8 @@ def shards(items: DataFrame) -> Iterator[Shard]:
     weighed = terms.join(df, "term").withColumn("weight", weight)
     own = weighed.groupBy(*key).agg(F.sum("weight").alias("own"))
     n = -(-postings // SHARD)
-    ready = weighed.join(own, key).select(
-        *key, "term", (F.col("weight") / F.col("own")).alias("impact"), F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("shard"))
+    ready = stored(weighed.join(own, key).select(
+        *key, "term", (F.col("weight") / F.col("own")).alias("impact"), F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("shard")))
     for k in range(n):
         items_at, entries_at, rows = {}, {}, []
         owner: list[int] = []
