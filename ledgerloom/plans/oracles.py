@@ -289,6 +289,11 @@ ORACLES = {
       SELECT wb AS workbook_id, CAST(4 * n + 6 + CASE WHEN ring THEN 2 ELSE 0 END AS BIGINT) AS cells,
              CAST(n + 2 + CASE WHEN ring THEN 2 ELSE 0 END AS BIGINT) AS formulas,
              CAST(n + 2 AS BIGINT) AS texts, n + 1 AS last_row FROM kinds""",
+    "damaged_workbooks": f"""WITH {ROWS}
+      SELECT wb AS file, CASE WHEN k % 7 IN (3, 5) THEN 'BadZipFile' END AS kind,
+             CASE WHEN k % 7 IN (3, 5) THEN 0 ELSE CAST(4 * n + 6 + CASE WHEN ring THEN 2 ELSE 0 END AS BIGINT) END AS cells,
+             CASE WHEN k % 7 IN (3, 5) THEN 0 ELSE CAST(n + 2 + CASE WHEN ring THEN 2 ELSE 0 END AS BIGINT) END AS formulas
+      FROM kinds""",
     "workbook_ingest": f"""WITH {VALUES}
       SELECT wb AS file, 'Lines!A' || rn AS node, CAST(NULL AS VARCHAR) AS formula, 'text' AS data_type, CAST(NULL AS DOUBLE) AS value_num FROM kinds JOIN lines USING (k)
       UNION ALL SELECT wb, 'Lines!B' || rn, NULL, 'number', price FROM kinds JOIN lines USING (k)

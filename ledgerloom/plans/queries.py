@@ -249,6 +249,27 @@ def workbook_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("file", "node", "formula", "data_type", "value_num"), 6, "value_num")
 
 
+@query
+def damaged_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an .xlsx file, some cut short or overwritten: what is read of each."""
+    order = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 7
+    files = cut(workbook_files(order_corpus(spark, sf_dir).cells).withColumn(
+        "content",
+        F.when(order == 3, F.substring("content", F.lit(1), F.length("content") - 40))
+        .when(order == 5, F.encode(F.concat(F.lit("not a workbook: "), "path"), "UTF-8"))
+        .otherwise(F.col("content"))))
+    every = cut(workbooks.raw_rows(files))
+    read = workbooks.cells(workbooks.readable(every)).groupBy("workbook_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("formula").alias("formulas"))
+    none = F.lit(0).cast("bigint")
+    return (
+        files.select(F.sha2("content", 256).alias("workbook_id"), F.substring_index("path", ".", 1).alias("file"))
+        .join(workbooks.damaged(every), "workbook_id", "left")
+        .join(read, "workbook_id", "left")
+        .select("file", "kind", F.coalesce("cells", none).alias("cells"), F.coalesce("formulas", none).alias("formulas"))
+    )
+
+
 def _event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events as raw cells of one workbook per user, with every kind of content."""
     e = table(spark, sf_dir, "events")
