@@ -409,6 +409,16 @@ ORACLES = {
              round({D_INT}, 6) AS delta, {verdict(D_INT, share('src', 'val'), '0.01', '100.0', 'lookup')} AS verdict,
              CASE WHEN lookup THEN 'partial' ELSE 'complete' END AS completeness, round(100.0 * good / nodes, 6) AS coverage_pct,
              CAST(nodes - good AS BIGINT) AS unsupported_count FROM outs""",
+    "unreconstructed_shares": f"""WITH {VALUES}
+      SELECT wb AS report_id, round(avg(100 - round(100.0 * good / nodes, 6)), 4) AS incomplete_pct FROM outs WHERE lookup GROUP BY wb""",
+    "cells_by_reference": f"""WITH {ROWS},
+      refs AS (
+        SELECT wb, 'Lines' AS tab, unnest(['A', 'B', 'C', 'D']) || rn AS ref FROM kinds JOIN lines USING (k)
+        UNION ALL SELECT wb, 'Lines', unnest(['A', 'B']) || (n + 1) FROM kinds
+        UNION ALL SELECT wb, 'Summary', unnest(['A1', 'B1']) FROM kinds
+        UNION ALL SELECT wb, 'Summary', unnest(['C1', 'D1']) FROM kinds WHERE ring
+        UNION ALL SELECT wb, 'Rates', unnest(['A1', 'A2']) FROM kinds)
+      SELECT wb AS workbook_id, tab AS tab_key, ref AS cell_ref, row_number() OVER (PARTITION BY wb, tab ORDER BY ref) AS position FROM refs""",
     "label_mappings": f"""WITH {VALUES}
       SELECT wb AS report_id, 'MAP-000' || (pos + 1) AS mapping_id, ref AS output_ref, 'REF-000' || (pos + 1) AS line_id,
              'one_to_one' AS mapping_type, CASE WHEN pos = 0 THEN 95.65 ELSE 96.3 END AS suggested_confidence, FALSE AS is_approved FROM outs""",
@@ -453,6 +463,9 @@ ORACLES = {
              ['pass','warn','incomplete','block'][x] AS external_verdict,
              ['pass','warn','incomplete','block'][greatest(i, x)] AS overall_verdict,
              internal_lines, external_lines, mappings, approved_mappings FROM ext""",
+    "mapping_sections": f"""WITH {REVIEWED}
+      SELECT wb AS report_id, CASE WHEN approved THEN 'approved' ELSE 'proposed' END AS section, mapping_id, account AS account_number FROM maps
+      UNION ALL SELECT wb, 'manual', mapping_id, account FROM maps WHERE k % 7 = 0 AND mapping_id LIKE 'MAP-0001%'""",
     "trace_index": f"""WITH {REVIEWED}
       SELECT wb AS report_id, 1 AS section, ref AS figure_key, round(coalesce(val, src), 6) AS report_value, ref AS root_ref,
              CASE WHEN lookup THEN 'partially_traced' ELSE 'traced' END AS trace_status, CAST(NULL AS VARCHAR) AS account_number FROM outs

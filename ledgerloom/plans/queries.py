@@ -632,6 +632,22 @@ def internal_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def unreconstructed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean share of an order's incomplete outputs that was not rebuilt.
+
+    Shares have six places, so means of them can end on half a unit; four are shown.
+    """
+    c, _, done = _rebuilt(spark, sf_dir)
+    return rounded(report.unreconstructed_pct(rebuild.internal_lines(c.outputs, c.cells, done)), 4, "incomplete_pct")
+
+
+@query
+def cells_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of every order's tabs with its place by reference as text."""
+    return C.by_reference(order_corpus(spark, sf_dir).cells).select("workbook_id", "tab_key", "cell_ref", "position")
+
+
 def _labelled(c) -> DataFrame:
     return C.output_labels(c.outputs, c.cells).select("report_id", "output_pos", "output_ref", "label")
 
@@ -772,6 +788,21 @@ def mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def mapping_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping report split as a reader sees it: approved, proposed, manual."""
+    _, lines, after, kept = _reviewed(spark, sf_dir)
+    extracts = lines.select("report_id", F.lit("general ledger").alias("source_label")).distinct()
+    # reports of every seventh order have a first mapping that takes several lines
+    many = (F.regexp_extract("report_id", r"(\d+)", 1).cast("bigint") % 7 == 0) & F.startswith("mapping_id", F.lit("MAP-0001"))
+    after = after.withColumn("mapping_type", F.when(many, "one_to_many").otherwise(F.col("mapping_type")))
+    parts = report.mapping_sections(report.mapping_report(after, kept, lines, extracts))
+    approved, proposed, manual = (
+        part.select("report_id", F.lit(name).alias("section"), "mapping_id", "account_number")
+        for name, part in zip(("approved", "proposed", "manual"), parts))
+    return approved.unionByName(proposed).unionByName(manual)
+
+
 @query
 def trace_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, lines, after, kept = _reviewed(spark, sf_dir)
