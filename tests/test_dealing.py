@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import ranges
 from ledgerloom.operators.numbering import numbered
+from ledgerloom.plans import queries
 from ledgerloom.session import FACTOR, UNPACKED, cut
 
 
@@ -53,3 +54,35 @@ def test_small_files_are_not_taken_for_small_tables(spark):
     spark.conf.set(FACTOR, "1.0")
     assert taken > 20 * size(spark.read.parquet(kept.inputFiles()[0]))
     spark.conf.unset(FACTOR)
+
+
+def item_joins_and_windows(df):
+    """Joins and windows that the optimized plan of a table still has."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Join "), plan.count("Window ")
+
+
+def order_tables(spark, folder):
+    """Three orders with items, one of them repeated, with a price that is null, and one without."""
+    orders = [(k, 1, "P" if k == 2 else "F", 100.0 * k, p) for k, p in ((1, "1-URGENT"), (2, "3-MEDIUM"), (3, "5-LOW"), (4, "5-LOW"))]
+    spark.createDataFrame(
+        orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    ).write.parquet(f"{folder}/orders.parquet")
+    items = [(k, n, 7, 1, price, 0.1, "R" if n == 2 else "N") for k, last in ((1, 3), (2, 1), (3, 2)) for n, price in
+             ((i, 10.0 * i if i < 3 else None) for i in range(1, last + 1))]
+    spark.createDataFrame(
+        items + items[:1], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double,"
+        " l_discount double, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_ledger_lines_are_written_before_labels_are_proposed(spark, tmp_path, monkeypatch):
+    folder, given = order_tables(spark, tmp_path), []
+    propose = queries.match.propose
+    monkeypatch.setattr(queries.match, "propose", lambda lines, outputs: given.extend((lines, outputs)) or propose(lines, outputs))
+    found = queries.label_mappings(spark, folder).select("report_id", "mapping_id", "output_ref").collect()
+    assert item_joins_and_windows(given[0]) == (0, 0)
+    assert {(r.report_id, r.mapping_id, r.output_ref) for r in found} == {
+        ("wb-1", "MAP-0001", "Lines!B5"), ("wb-1", "MAP-0002", "Summary!B1"),
+        ("wb-2", "MAP-0001", "Lines!B2"), ("wb-2", "MAP-0002", "Summary!B1"),
+        ("wb-3", "MAP-0001", "Lines!B3"), ("wb-3", "MAP-0002", "Summary!B1")}
