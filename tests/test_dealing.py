@@ -86,3 +86,13 @@ def test_ledger_lines_are_written_before_labels_are_proposed(spark, tmp_path, mo
         ("wb-1", "MAP-0001", "Lines!B5"), ("wb-1", "MAP-0002", "Summary!B1"),
         ("wb-2", "MAP-0001", "Lines!B2"), ("wb-2", "MAP-0002", "Summary!B1"),
         ("wb-3", "MAP-0001", "Lines!B3"), ("wb-3", "MAP-0002", "Summary!B1")}
+
+
+def test_cycles_write_formulas_alone(spark, tmp_path, monkeypatch):
+    folder, written = order_tables(spark, tmp_path), []
+    monkeypatch.setattr(queries, "cut", lambda df: written.append(cut(df)) or written[-1])
+    found = queries.circular_references(spark, folder).collect()
+    assert [(r.workbook_id, r.tab_key, r.cell_ref) for r in found] == [("wb-2", "Summary", "C1")]
+    # net lines (4, 1 and 2), totals, sums with charge, and the ring of the second order
+    assert written[0].count() == 4 + 1 + 2 + 3 + 3 + 2
+    assert written[0].columns == ["workbook_id", "tab_key", "col", "row", "node", "formula"]
