@@ -96,3 +96,10 @@ def test_cycles_write_formulas_alone(spark, tmp_path, monkeypatch):
     # net lines (4, 1 and 2), totals, sums with charge, and the ring of the second order
     assert written[0].count() == 4 + 1 + 2 + 3 + 3 + 2
     assert written[0].columns == ["workbook_id", "tab_key", "col", "row", "node", "formula"]
+
+
+def test_outputs_of_the_rebuild_are_written_once(spark, tmp_path):
+    c, _, done = queries._rebuilt(spark, order_tables(spark, tmp_path))
+    assert item_joins_and_windows(c.outputs) == (0, 0)
+    assert {(r.workbook_id, r.root) for r in done.summary.collect()} == {
+        (f"wb-{k}", ref) for k, n in ((1, 4), (2, 1), (3, 2)) for ref in (f"Lines!B{n + 1}", "Summary!B1")}
