@@ -3,79 +3,162 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ledgerloom.llm.shared import shared_folder
 
 END_ID = 2
 #: Text bytes of a shard, about; least count of a pair.
 SHARD_BYTES, LEAST = 1 << 21, 4
+#: Pairs of a round that are looked at together before they are chosen one by one.
+ROW = 1 << 11
 
 
 #: Blanks to str.split that the tokenizer takes for characters.
 ODD = re.compile("[\x1c-\x1f]")
+#: What a tokenizer must do before the merges for its texts to be cut into pieces here, and that cut
+#: where a text holds nothing but ``PLAIN`` signs: their small letters are one to one, composed already.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+SIGNS = "".join(map(chr, [*range(0x1C), *range(0x20, 0x7F), *range(0xA1, 0xAA), *range(0xAB, 0xB2), 0xB4, 0xB6, 0xB7, 0xB8,
+                          0xBB, *range(0xBF, 0x100)])) + "\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac"
+PLAIN = re.compile(f"[{re.escape(SIGNS)}]*")
+LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+PIECE = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{LETTERS}0-9\t-\r ]+")
+
+
+END = np.array([END_ID], "<i4").tobytes()
+
+
+def gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of those that lie in ``flat`` one after the other, and where each ends."""
+    count = size[which]
+    upto = np.cumsum(count)
+    first = np.cumsum(size) - size
+    return flat[np.repeat(first[which] - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)], upto
 
 
 class WordIds(dict):
-    """Ids of each stretch of text without blanks, remembered for a bounded number.
+    """Ids of each piece of text, remembered for a bounded number.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
-    those of its stretches in order. A stretch of letters, small ones too, with a comma
-    or full stop after it has the ids of both, and capital ASCII letters those of small
-    ones. A stretch that may hold a special token is never changed: the special
-    tokens are matched as they are written.
+    those of its stretches without blanks in order. Plain signs are made small and
+    cut into the tokenizer's pieces here, and only the merges of a piece not met
+    before are left to the library's model; any other stretch goes through the whole
+    tokenizer. So does one that holds a special token, which is matched as it is written.
     """
 
+    #: Pieces remembered: when a half is full, the half before it is forgotten.
     LIMIT = 1 << 19
-    #: Longer stretches are not remembered, so the memory held is bounded.
+    #: Longer pieces are not remembered, so the memory held is bounded.
     LONGEST = 256
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given each core its task
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _parts(self, word: str) -> tuple[str, ...]:
-        if any(s in word for s in self.special):
-            return (word,)
-        if word.isascii():
-            low = word.lower()
-            word = word if any(s in low for s in self.special) else low
-        # Lowering may leave marks that are no letters, to which the tokenizer joins what follows.
-        letters = word[:-1].isalpha() and word[:-1].lower().isalpha()
-        return (word[:-1], word[-1]) if word[-1] in ".," and letters else (word,)
-
-    def learn(self, words: set[str]) -> None:
-        new = {w for w in words if w not in self}
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = words
-        parts = {w: self._parts(w) for w in new}
-        plain = list({p for ps in parts.values() for p in ps if p not in self})
-        made = {p: np.array(e.ids, "<i4").tobytes()
-                for p, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False))}
-        for word, ps in parts.items():
-            made[word] = b"".join([made[p] if p in made else self[p] for p in ps])
-        self.update((w, made[w]) for w in new)
-        self.long = {w for w in new if len(w) > self.LONGEST}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)")
+        made = json.loads(self.tokenizer.to_str())
+        self.cuts = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+        self.merges = self.tokenizer.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in SIGNS}
+        self.before: dict[str, bytes] = {}
+        # pieces of plain texts, their ids one after the other, and how many each has
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.size = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def _plain(self, text: str) -> bool:
+        return self.cuts and PLAIN.fullmatch(text) is not None and not self.special.search(text)
+
+    def __missing__(self, part: str) -> bytes:
+        made = self.before.get(part)
+        if made is None:
+            if self._plain(part):
+                made = array("i", [t.id for t in self.merges(part.translate(self.bytes))]).tobytes()
+            else:
+                made = array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if len(part) <= self.LONGEST:
+            if 2 * len(self) >= self.LIMIT:
+                self.before = dict(self)
+                self.clear()
+            self[part] = made
+        return made
+
+    def _parts(self, text: str | None) -> list[str]:
+        """Pieces of plain signs, and stretches that are not plain as they are."""
+        if not text or ODD.search(text):
+            return [text] if text else []
+        if self._plain(text):
+            return PIECE.findall(text.lower())
+        parts = []
+        for word in text.split():
+            parts += PIECE.findall(word.lower()) if self._plain(word) else [word]
+        return parts
+
+    def _pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after the other, and how many each has."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))
+        made = [[t.id for t in self.merges(p if p.isascii() and p.isalpha() else p.translate(self.bytes))]
+                for p in new.to_numpy(zero_copy_only=False).tolist()]
+        size = np.concatenate([self.size, np.fromiter(map(len, made), np.int64, len(made))])
+        flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
+        which = at.to_numpy(zero_copy_only=False) if at.null_count == 0 else pc.fill_null(at, 0).to_numpy()
+        which = which.astype(np.int64)
+        which[pc.is_null(at).to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(size))
+        found, _ = gathered(flat, size, which)
+        # what is remembered: all, or where that is too much the pieces of these texts
+        full = len(size) > self.LIMIT
+        text = pieces if full else pa.concat_arrays([self.known, new])
+        kept = pc.less_equal(pc.utf8_length(text), self.LONGEST)
+        if full:
+            flat, size = found, size[which]
+        if not pc.all(kept).as_py():
+            stay = np.flatnonzero(kept.to_numpy(zero_copy_only=False))
+            flat, size, text = gathered(flat, size, stay)[0], size[stay], text.filter(kept)
+        if full or len(new):
+            self.known, self.flat, self.size = text, flat, size
+        return found, np.diff(_, prepend=0)
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
-        split = [[] if not t else [t] if ODD.search(t) else t.split() for t in texts]
-        self.learn(set().union(*split))
-        end = np.array([END_ID], "<i4").tobytes()
-        ids = [np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<i4") for words in split]
-        for word in self.long:
-            del self[word]
-        return ids
+        made: list[np.ndarray | None] = [None] * len(texts)
+        plain = [n for n, t in enumerate(texts) if t and self._plain(t)]
+        for n in set(range(len(texts))).difference(plain):
+            made[n] = np.frombuffer(b"".join(map(self.__getitem__, self._parts(texts[n]))) + END, "<i4")
+        if not plain:
+            return made
+        # each stretch is cut into pieces once for all its places in these texts
+        split = pc.ascii_split_whitespace(pa.array([texts[n].lower() for n in plain], pa.large_string()))
+        stretches = split.flatten().dictionary_encode()
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(stretches.dictionary, PIECE.pattern, r"\0 "))
+        pieces = cut.flatten().dictionary_encode()
+        flat, size = self._pieces(pieces.dictionary)
+        flat, upto = gathered(flat, size, pieces.indices.to_numpy())
+        size = np.diff(np.r_[0, upto][np.r_[0, np.cumsum(cut.value_lengths().to_numpy())]])
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        which = np.insert(stretches.indices.to_numpy(), ends, len(size))
+        ids, upto = gathered(np.r_[flat, np.int32(END_ID)], np.r_[size, 1], which)
+        for n, part in zip(plain, np.split(ids, upto[ends + np.arange(len(plain))][:-1])):
+            made[n] = part
+        return made
 
 
 #: One for each tokenizer file, kept while a Python worker lives.
@@ -102,39 +185,50 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -
     only at places whose symbols began and ended frequent pairs, or that hold a
     symbol of the round before.
     """
-    sequence = ids.astype(np.int64)
+    sequence = ids.astype(np.int32)
     base = int(ids.max(initial=0)) + 1
     rules: list[np.ndarray] = []
     symbols = base
     live = np.ones(max(len(sequence) - 1, 0), bool)
     for _ in itertools.count() if rounds is None else range(rounds):
-        near = np.flatnonzero(live)
-        left, right = sequence[near], sequence[near + 1]
-        inside = (left != END_ID) & (right != END_ID)
-        near, left, right = near[inside], left[inside], right[inside]
-        keys = left * (1 << 31) + right
+        ordinary = sequence != END_ID
+        near = np.flatnonzero(live & ordinary[:-1] & ordinary[1:])
+        left, right = sequence[near], sequence[1:][near]
+        keys = left.astype(np.int64)
+        keys <<= 31
+        keys |= right
         found, counts = np.unique(keys, return_counts=True)
         found, counts = found[counts >= least], counts[counts >= least]
         if not len(found):
             break
         begins, ends = np.zeros((2, symbols), bool)
         begins[found >> 31], ends[found & ((1 << 31) - 1)] = True, True
-        often = begins[left] & ends[right]
+        often = np.flatnonzero(begins[left] & ends[right])
         near, left, right, keys = near[often], left[often], right[often], keys[often]
         found = found[np.argsort(-counts, kind="stable")]
         # a symbol begins pairs or ends them in this round, as its best pair has it
-        a, b = found >> 31, found & ((1 << 31) - 1)
-        role = [0] * symbols
+        known = bytearray(symbols)
+        role = np.frombuffer(known, np.int8)
         chosen = []
-        for x, y, key in zip(a.tolist(), b.tolist(), found.tolist()):
-            if x != y and role[x] in (0, 1) and role[y] in (0, 2):
-                role[x], role[y] = 1, 2
-                chosen.append(key)
-            elif x == y and not role[x]:
-                role[x] = 3
-                chosen.append(key)
-        pairs = np.sort(np.array(chosen))
-        role = np.array(role, np.int8)
+        # roles stay once given: what they decide of the next pairs needs no look at each
+        for at in range(0, len(found), ROW):
+            keys_ = found[at : at + ROW]
+            a, b = keys_ >> 31, keys_ & ((1 << 31) - 1)
+            begin, end = role[a], role[b]
+            open_ = np.where(a == b, begin == 0, (begin <= 1) & ((end == 0) | (end == 2)))
+            done = open_ & (begin == 1) & (end == 2)
+            chosen.append(keys_[done])
+            open_ &= ~done
+            taken = []
+            for x, y, key in zip(a[open_].tolist(), b[open_].tolist(), keys_[open_].tolist()):
+                if x != y and known[x] in (0, 1) and known[y] in (0, 2):
+                    known[x], known[y] = 1, 2
+                    taken.append(key)
+                elif x == y and not known[x]:
+                    known[x] = 3
+                    taken.append(key)
+            chosen.append(np.array(taken, np.int64))
+        pairs = np.sort(np.concatenate(chosen))
         first, second = role[left], role[right]
         may = np.flatnonzero(((first == 1) & (second == 2)) | ((first == 3) & (left == right)))
         place = np.searchsorted(pairs, keys[may])
@@ -147,7 +241,6 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -
             run = np.r_[0, np.cumsum(np.diff(places) > 1)]
             odd = same[(places - places[np.searchsorted(run, run)]) % 2 == 1]
             hit, made = np.delete(hit, odd), np.delete(made, odd)
-        sequence = sequence.copy()
         sequence[hit] = symbols + made
         live = np.zeros(len(sequence), bool)
         live[near] = True
@@ -162,23 +255,35 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each rule expands to."""
-    made = np.ones(base + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        made[base + k] = made[a] + made[b]
+    """How many ids each rule expands to: rules of known symbols first, then those that hold them."""
+    made = np.zeros(base + len(rules), np.int64)
+    made[:base] = 1
+    left = np.arange(len(rules))
+    while len(left):
+        a, b = made[rules[left, 0]], made[rules[left, 1]]
+        known = (a > 0) & (b > 0)
+        made[base + left[known]] = (a + b)[known]
+        left = left[~known]
     return made[base:]
 
 
-def expanded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of some symbols: rules are opened level by level."""
-    while (open_ := symbols >= base).any():
-        size = np.where(open_, 2, 1)
-        at = np.cumsum(size) - size
-        out = np.repeat(symbols, size)
-        pairs = rules[symbols[open_] - base]
-        out[at[open_]], out[at[open_] + 1] = pairs[:, 0], pairs[:, 1]
-        symbols = out
-    return symbols
+def expanded(symbols: np.ndarray, rules: np.ndarray, base: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids of some symbols: rules are opened level by level, each in its place of the result.
+
+    ``sizes``: how many ids each rule expands to, where that is known.
+    """
+    size = np.ones(base + len(rules), np.int64)
+    size[base:] = lengths(rules, base) if sizes is None else sizes
+    ends = np.cumsum(size[symbols])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    at = ends - size[symbols]
+    while len(symbols):
+        open_ = symbols >= base
+        out[at[~open_]] = symbols[~open_]
+        pairs, at = rules[symbols[open_] - base], at[open_]
+        symbols = np.concatenate([pairs[:, 0], pairs[:, 1]])
+        at = np.concatenate([at, at + size[pairs[:, 0]]])
+    return out
 
 
 FORMAT = (
@@ -194,16 +299,17 @@ def shard_of(ids: list[np.ndarray]) -> dict:
     base = int(flat.max(initial=0)) + 1
     ends = np.flatnonzero(sequence == END_ID)
     starts = np.r_[0, ends + 1]
+    long = lengths(rules, base)
     # an end id may also be an ordinary token: documents are told by their lengths
     if len(starts) != len(ids) + 1:
         size = np.ones(base + len(rules), np.int64)
-        size[base:] = lengths(rules, base)
+        size[base:] = long
         upto = np.r_[0, np.cumsum(size[sequence])]
         starts = np.searchsorted(upto, np.r_[0, np.cumsum([len(i) for i in ids])])
     pack = lambda x: np.ascontiguousarray(x, "<u4").tobytes()
     return {
         "base": base, "n_tokens": len(flat), "n_symbols": len(sequence), "rules": pack(rules),
-        "lengths": pack(lengths(rules, base)), "starts": pack(starts), "sequence": pack(sequence),
+        "lengths": pack(long), "starts": pack(starts), "sequence": pack(sequence),
     }
 
 
@@ -212,7 +318,17 @@ def document(shard: dict, n: int) -> np.ndarray:
     starts = np.frombuffer(shard["starts"], "<u4")
     sequence = np.frombuffer(shard["sequence"], "<u4", int(starts[n + 1] - starts[n]), 4 * int(starts[n]))
     rules = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-    return expanded(sequence.astype(np.int64), rules, shard["base"])
+    return expanded(sequence.astype(np.int64), rules, shard["base"], np.frombuffer(shard["lengths"], "<u4"))
+
+
+def runs(rows: list[tuple], weight: int) -> Iterator[list[tuple]]:
+    """Rows in runs of texts (the second field) of about ``weight`` characters, 1,024 rows at most."""
+    at = sum_ = 0
+    for n, (_, text) in enumerate(rows, 1):
+        sum_ += len(text or "")
+        if sum_ >= weight or n - at == 1024 or n == len(rows):
+            yield rows[at:n]
+            at, sum_ = n, 0
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = SHARD_BYTES) -> None:
@@ -239,16 +355,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int
             return pd.DataFrame([{"shard": (range_ << 32) + n, "doc_ids": docs_, **shard_of(ids)}])
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                texts = [t if isinstance(t, str) else None for t in part["text"]]
-                for doc, text, made in zip(part["doc_id"], texts, known.texts(texts)):
+            if len(batch):
+                range_ = int(batch["_range"].iloc[0])
+            rows = [(None if pd.isna(d) else int(d), t if isinstance(t, str) else None) for d, t in zip(batch["doc_id"], batch["text"])]
+            for part in runs(rows, shard_bytes):
+                for (doc, text), made in zip(part, known.texts([t for _, t in part])):
                     if ids and size + len(text or "") > shard_bytes:
                         yield shard()
                         ids, docs_, size, n = [], [], 0, n + 1
-                    range_ = int(part["_range"].iloc[0])
                     ids.append(made)
-                    docs_.append(None if pd.isna(doc) else int(doc))
+                    docs_.append(doc)
                     size += len(text or "")
         if ids:
             yield shard()
@@ -276,7 +392,7 @@ def read_tokens(spark, folder: str) -> DataFrame:
                 size = np.ones(s["base"] + len(rules), np.int64)
                 size[s["base"]:] = np.frombuffer(s["lengths"], "<u4")
                 upto = np.r_[0, np.cumsum(size[sequence])][starts]
-                flat = expanded(sequence, rules, s["base"]).astype("<u4")
+                flat = expanded(sequence, rules, s["base"], size[s["base"]:]).astype("<u4")
                 yield pd.DataFrame({
                     "doc_id": pd.array(s["doc_ids"], dtype="Int64"), "inner": upto[:-1], "n_tokens": np.diff(upto),
                     "ids_crc32": [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(upto, upto[1:])], "shard": s["shard"]})
