@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ranges
+from ledgerloom.operators import graph, ranges
 from ledgerloom.operators.numbering import numbered
 from ledgerloom.plans import queries
 from ledgerloom.session import FACTOR, UNPACKED, cut
@@ -103,3 +103,19 @@ def test_outputs_of_the_rebuild_are_written_once(spark, tmp_path):
     assert item_joins_and_windows(c.outputs) == (0, 0)
     assert {(r.workbook_id, r.root) for r in done.summary.collect()} == {
         (f"wb-{k}", ref) for k, n in ((1, 4), (2, 1), (3, 2)) for ref in (f"Lines!B{n + 1}", "Summary!B1")}
+
+
+def test_repeats_are_looked_for_among_edges_of_rings_only(spark, monkeypatch):
+    plans, write = [], graph.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    edges = cut(spark.createDataFrame(
+        [("w", "a", "b"), ("w", "b", "a"), ("w", "b", "a"), ("w", "c", "a"), ("w", None, "a")], "workbook_id string, src string, dst string"))
+    rings = cut(spark.createDataFrame([("w", "a", "b"), ("w", "b", "b")], "workbook_id string, node string, ring string"))
+    monkeypatch.setattr(graph, "cut", seen)
+    found = graph.elementary_cycles(edges, rings)
+    assert plans[0].startswith("Aggregate") and plans[0].count("Aggregate") == 1
+    assert [r.members for r in found.collect()] == [["a", "b"]]
