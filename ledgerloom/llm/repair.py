@@ -22,6 +22,8 @@ from ledgerloom.llm.shared import shared_folder
 END_ID = 2
 #: Text bytes of a shard, about; least count of a pair.
 SHARD_BYTES, LEAST = 1 << 21, 4
+#: Shards' worth of text that is cut into pieces together: a piece is looked up once for all its places in it.
+TOGETHER = 2
 #: Pairs of a round that are looked at together before they are chosen one by one.
 ROW = 1 << 11
 
@@ -51,7 +53,9 @@ def gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.
     count = size[which]
     upto = np.cumsum(count)
     first = np.cumsum(size) - size
-    return flat[np.repeat(first[which] - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)], upto
+    places = np.repeat(first[which] - upto + count, count)
+    places += np.arange(len(places))
+    return flat[places], upto
 
 
 class WordIds(dict):
@@ -145,16 +149,21 @@ class WordIds(dict):
             made[n] = np.frombuffer(b"".join(map(self.__getitem__, self._parts(texts[n]))) + END, "<i4")
         if not plain:
             return made
-        # each stretch is cut into pieces once for all its places in these texts
+        # each stretch is cut into pieces once for all its places in these texts; one of letters alone is a piece
         split = pc.ascii_split_whitespace(pa.array([texts[n].lower() for n in plain], pa.large_string()))
         stretches = split.flatten().dictionary_encode()
-        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(stretches.dictionary, PIECE.pattern, r"\0 "))
-        pieces = cut.flatten().dictionary_encode()
+        whole = pc.utf8_is_alpha(stretches.dictionary)
+        mixed = stretches.dictionary.filter(pc.invert(whole))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(mixed, PIECE.pattern, r"\0 "))
+        pieces = pa.concat_arrays([stretches.dictionary.filter(whole), cut.flatten()]).dictionary_encode()
+        whole = whole.to_numpy(zero_copy_only=False)
+        place = np.where(whole, np.cumsum(whole), whole.sum() + np.cumsum(~whole)) - 1
+        count = np.r_[np.ones(whole.sum(), np.int64), cut.value_lengths().to_numpy()]
         flat, size = self._pieces(pieces.dictionary)
         flat, upto = gathered(flat, size, pieces.indices.to_numpy())
-        size = np.diff(np.r_[0, upto][np.r_[0, np.cumsum(cut.value_lengths().to_numpy())]])
+        size = np.diff(np.r_[0, upto][np.r_[0, np.cumsum(count)]])
         ends = np.cumsum(split.value_lengths().to_numpy())
-        which = np.insert(stretches.indices.to_numpy(), ends, len(size))
+        which = np.insert(place[stretches.indices.to_numpy()], ends, len(size))
         ids, upto = gathered(np.r_[flat, np.int32(END_ID)], np.r_[size, 1], which)
         for n, part in zip(plain, np.split(ids, upto[ends + np.arange(len(plain))][:-1])):
             made[n] = part
@@ -171,6 +180,23 @@ def word_ids(path: str) -> WordIds:
     return _KNOWN[path]
 
 
+def by_pair(left: np.ndarray, right: np.ndarray, near: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols below ``2 ** width`` as numbers in ascending order, and the ascending places of each."""
+    keys = left.astype(np.int64)
+    keys <<= width
+    keys |= right
+    places = int(near[-1]).bit_length() if len(near) else 0
+    if 2 * width + places < 64:  # one number holds both: sorting it is faster than sorting by it
+        keys <<= places
+        keys |= near
+        keys.sort()
+        near = keys & ((1 << places) - 1)
+        keys >>= places
+        return keys, near
+    order = np.argsort(keys, kind="stable")
+    return keys[order], near[order]
+
+
 def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs of symbols) and the sequence that expands to ``ids``.
 
@@ -182,63 +208,63 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -
     document. It ends when no pair is left that is seen so often, or after ``rounds``.
 
     A pair of older symbols is never seen more often than before, so a round looks
-    only at places whose symbols began and ended frequent pairs, or that hold a
-    symbol of the round before.
+    only at places of pairs that were frequent, or that hold a symbol of the round
+    before. Until the end, ids are numbered in order without gaps, so that a pair and
+    its place fit one number: pairs are counted by sorting these, which gives their
+    places too.
     """
-    sequence = ids.astype(np.int32)
     base = int(ids.max(initial=0)) + 1
+    own = np.flatnonzero(np.bincount(ids, minlength=base))
+    number = np.full(base, -1, np.int32)
+    number[own] = np.arange(len(own), dtype=np.int32)
+    sequence = number[ids]
+    end = number[END_ID] if END_ID < base else -1
     rules: list[np.ndarray] = []
-    symbols = base
+    symbols = len(own)
     live = np.ones(max(len(sequence) - 1, 0), bool)
     for _ in itertools.count() if rounds is None else range(rounds):
-        ordinary = sequence != END_ID
+        ordinary = sequence != end
         near = np.flatnonzero(live & ordinary[:-1] & ordinary[1:])
-        left, right = sequence[near], sequence[1:][near]
-        keys = left.astype(np.int64)
-        keys <<= 31
-        keys |= right
-        found, counts = np.unique(keys, return_counts=True)
-        found, counts = found[counts >= least], counts[counts >= least]
-        if not len(found):
+        width = symbols.bit_length()
+        keys, near = by_pair(sequence[near], sequence[1:][near], near, width)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        counts = np.diff(first, append=len(keys))
+        often = counts >= least
+        near, first, counts = near[np.repeat(often, counts)], first[often], counts[often]
+        if not len(first):
             break
-        begins, ends = np.zeros((2, symbols), bool)
-        begins[found >> 31], ends[found & ((1 << 31) - 1)] = True, True
-        often = np.flatnonzero(begins[left] & ends[right])
-        near, left, right, keys = near[often], left[often], right[often], keys[often]
-        found = found[np.argsort(-counts, kind="stable")]
+        found = keys[first]
+        most = np.argsort(-counts, kind="stable")
         # a symbol begins pairs or ends them in this round, as its best pair has it
         known = bytearray(symbols)
         role = np.frombuffer(known, np.int8)
         chosen = []
         # roles stay once given: what they decide of the next pairs needs no look at each
-        for at in range(0, len(found), ROW):
-            keys_ = found[at : at + ROW]
-            a, b = keys_ >> 31, keys_ & ((1 << 31) - 1)
-            begin, end = role[a], role[b]
-            open_ = np.where(a == b, begin == 0, (begin <= 1) & ((end == 0) | (end == 2)))
-            done = open_ & (begin == 1) & (end == 2)
-            chosen.append(keys_[done])
+        for at in range(0, len(most), ROW):
+            which = most[at : at + ROW]
+            a, b = found[which] >> width, found[which] & ((1 << width) - 1)
+            begin, finish = role[a], role[b]
+            open_ = np.where(a == b, begin == 0, (begin <= 1) & ((finish == 0) | (finish == 2)))
+            done = open_ & (begin == 1) & (finish == 2)
+            chosen.append(which[done])
             open_ &= ~done
             taken = []
-            for x, y, key in zip(a[open_].tolist(), b[open_].tolist(), keys_[open_].tolist()):
+            for x, y, n in zip(a[open_].tolist(), b[open_].tolist(), which[open_].tolist()):
                 if x != y and known[x] in (0, 1) and known[y] in (0, 2):
                     known[x], known[y] = 1, 2
-                    taken.append(key)
+                    taken.append(n)
                 elif x == y and not known[x]:
                     known[x] = 3
-                    taken.append(key)
+                    taken.append(n)
             chosen.append(np.array(taken, np.int64))
-        pairs = np.sort(np.concatenate(chosen))
-        first, second = role[left], role[right]
-        may = np.flatnonzero(((first == 1) & (second == 2)) | ((first == 3) & (left == right)))
-        place = np.searchsorted(pairs, keys[may])
-        place[place == len(pairs)] = 0
-        own = pairs[place] == keys[may]
-        hit, made = near[may[own]], place[own]
-        same = np.flatnonzero(left[may[own]] == right[may[own]])
+        which = np.sort(np.concatenate(chosen))
+        pairs = np.stack([found[which] >> width, found[which] & ((1 << width) - 1)], axis=1)
+        hit, _ = gathered(near, counts, which)
+        made = np.repeat(np.arange(len(which)), counts[which])
+        same = np.flatnonzero((pairs[:, 0] == pairs[:, 1])[made])
         if len(same):  # every second place of a run
             places = hit[same]
-            run = np.r_[0, np.cumsum(np.diff(places) > 1)]
+            run = np.r_[0, np.cumsum(np.diff(places) != 1)]
             odd = same[(places - places[np.searchsorted(run, run)]) % 2 == 1]
             hit, made = np.delete(hit, odd), np.delete(made, odd)
         sequence[hit] = symbols + made
@@ -249,9 +275,11 @@ def compressed(ids: np.ndarray, least: int = LEAST, rounds: int | None = None) -
         sequence, live = sequence[kept], live[kept][:-1]
         new = sequence >= symbols
         live |= new[:-1] | new[1:]
-        rules.append(np.stack([pairs >> 31, pairs & ((1 << 31) - 1)], axis=1))
+        rules.append(pairs)
         symbols += len(pairs)
-    return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)), sequence
+    # symbols by the numbers that they have outside: ids, and rules from the base on
+    names = np.r_[own, base + np.arange(symbols - len(own))]
+    return names[np.concatenate(rules)] if rules else np.empty((0, 2), np.int64), names.astype(np.int32)[sequence]
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -286,6 +314,15 @@ def expanded(symbols: np.ndarray, rules: np.ndarray, base: int, sizes: np.ndarra
     return out
 
 
+def opened(sequence: np.ndarray, rules: np.ndarray, base: int, size: np.ndarray) -> np.ndarray:
+    """The ids of a whole sequence: each symbol is opened once for all its places. ``size``: ids of every symbol."""
+    used = np.flatnonzero(np.bincount(sequence, minlength=len(size)))
+    number = np.zeros(len(size), np.int64)
+    number[used] = np.arange(len(used))
+    flat = expanded(used, rules, base, size[base:]).astype("<u4")
+    return gathered(flat, size[used], number[sequence])[0]
+
+
 FORMAT = (
     "shard bigint, base bigint, n_tokens bigint, doc_ids array<bigint>, n_symbols bigint, "
     "rules binary, lengths binary, starts binary, sequence binary"
@@ -322,11 +359,11 @@ def document(shard: dict, n: int) -> np.ndarray:
 
 
 def runs(rows: list[tuple], weight: int) -> Iterator[list[tuple]]:
-    """Rows in runs of texts (the second field) of about ``weight`` characters, 1,024 rows at most."""
+    """Rows in runs of texts (the second field) of about ``weight`` characters, 4,096 rows at most."""
     at = sum_ = 0
     for n, (_, text) in enumerate(rows, 1):
         sum_ += len(text or "")
-        if sum_ >= weight or n - at == 1024 or n == len(rows):
+        if sum_ >= weight or n - at == 4096 or n == len(rows):
             yield rows[at:n]
             at, sum_ = n, 0
 
@@ -358,7 +395,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int
             if len(batch):
                 range_ = int(batch["_range"].iloc[0])
             rows = [(None if pd.isna(d) else int(d), t if isinstance(t, str) else None) for d, t in zip(batch["doc_id"], batch["text"])]
-            for part in runs(rows, shard_bytes):
+            for part in runs(rows, TOGETHER * shard_bytes):
                 for (doc, text), made in zip(part, known.texts([t for _, t in part])):
                     if ids and size + len(text or "") > shard_bytes:
                         yield shard()
@@ -392,7 +429,7 @@ def read_tokens(spark, folder: str) -> DataFrame:
                 size = np.ones(s["base"] + len(rules), np.int64)
                 size[s["base"]:] = np.frombuffer(s["lengths"], "<u4")
                 upto = np.r_[0, np.cumsum(size[sequence])][starts]
-                flat = expanded(sequence, rules, s["base"], size[s["base"]:]).astype("<u4")
+                flat = opened(sequence, rules, s["base"], size)
                 yield pd.DataFrame({
                     "doc_id": pd.array(s["doc_ids"], dtype="Int64"), "inner": upto[:-1], "n_tokens": np.diff(upto),
                     "ids_crc32": [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(upto, upto[1:])], "shard": s["shard"]})

@@ -43,3 +43,35 @@ def test_rules_that_hold_later_rules_have_their_lengths():
     rules = np.array([[0, 1], [3, 3], [4, 2]])
     assert repair.lengths(rules, 3).tolist() == [2, 4, 5]
     assert repair.expanded(np.array([5, 1, 4]), rules, 3).tolist() == [0, 1, 0, 1, 2, 1, 0, 1, 0, 1]
+
+
+def test_a_stretch_of_letters_is_a_piece_without_a_look_for_its_ends(monkeypatch):
+    plain, own, cut = Tokenizer.from_file(PATH), repair.WordIds(PATH), []
+    replace = repair.pc.replace_substring_regex
+    monkeypatch.setattr(repair.pc, "replace_substring_regex", lambda x, *a: cut.extend(x.to_pylist()) or replace(x, *a))
+    texts = ["Schöße and ÿð it's (and) and, 12", "", "and\nÉtude ×and÷ and"]
+    for text, ids in zip(texts, own.texts(texts)):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [repair.END_ID]
+    assert sorted(cut) == ["(and)", "12", "and,", "it's", "×and÷"]
+    small = repair.SIGNS.lower()
+    letters = repair.pc.utf8_is_alpha(repair.pa.array(list(small))).to_pylist()
+    assert letters == [repair.re.fullmatch(f"[{repair.LETTERS}]", c) is not None for c in small]
+
+
+def test_a_symbol_is_opened_once_for_all_its_places(monkeypatch):
+    rules, asked = np.array([[0, 1], [3, 3], [4, 2]]), []
+    expanded = repair.expanded
+    monkeypatch.setattr(repair, "expanded", lambda symbols, *a: asked.extend(symbols.tolist()) or expanded(symbols, *a))
+    sequence, size = np.array([5, 1, 4, 5, 5, 0, 4]), np.array([1, 1, 1, 2, 4, 5])
+    assert repair.opened(sequence, rules, 3, size).tolist() == expanded(sequence, rules, 3).tolist()
+    assert asked == [0, 1, 4, 5]
+    assert repair.opened(sequence[:0], rules, 3, size).tolist() == []
+
+
+def test_pairs_have_their_places_in_order_however_wide_they_are():
+    draw = np.random.default_rng(5)
+    left, right, near = draw.integers(0, 9, 500, np.int32), draw.integers(0, 9, 500, np.int32), np.arange(500) * 3
+    wanted = sorted(zip(left.tolist(), right.tolist(), near.tolist()))
+    for width in (4, 30):  # pair and place in one number, and apart
+        keys, places = repair.by_pair(left, right, near, width)
+        assert [(k >> width, k & ((1 << width) - 1), p) for k, p in zip(keys.tolist(), places.tolist())] == wanted
