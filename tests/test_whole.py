@@ -5,7 +5,7 @@ from functools import reduce
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.operators import graph, rebuild, whole
+from ledgerloom.operators import cells as C, graph, rebuild, whole
 from ledgerloom.session import cut
 from tests.books import cells, outputs
 
@@ -110,3 +110,17 @@ def test_unit_of_given_cycles(spark):
     ("='My Tab'!$B$2:A1+x!C3", [("My Tab", 1, 2, 1, 2), ("x", 3, 3, 3, 3)]), ('="A1"&B2', [(None, 2, 2, 2, 2)]), ("=SUM(aa10:AB9)", [(None, 27, 28, 9, 10)])])
 def test_references_of_a_formula(formula, boxes):
     assert whole._boxes(formula) == boxes
+
+
+def test_labels_are_found_whole_as_by_joins(spark, monkeypatch):
+    book, chosen = tables(spark)
+    book = cut(book.unionByName(cells(spark, {"T!A1": " Net :: ", "T!B1": 1, "T!A2": ("=B1", "x"), "T!B2": 2, "T!A3": " : ", "T!B3": 3}, "labels")))
+    more = outputs(spark, "T!B1", "T!B2", "T!B3", "T!B1", "T!C9", None, workbook_id="labels")
+    chosen = cut(chosen.unionByName(more).unionByName(outputs(spark, "T!B1", workbook_id="gone")))
+    here = C.output_labels(chosen, book)
+    monkeypatch.setattr(whole, "HELD", 0)
+    there = C.output_labels(chosen, book)
+    assert sorted(here.columns) == sorted(there.columns)
+    assert plain(here, here.columns) == plain(there, here.columns)
+    assert {(r.output_ref, r.label) for r in here.filter("workbook_id = 'labels'").collect()} == {
+        ("T!B1", "Net"), ("T!B2", "T!B2"), ("T!B3", "T!B3"), ("T!C9", "T!C9"), (None, None)}
