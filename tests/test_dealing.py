@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph, ranges
+from ledgerloom.operators import cells as C, graph, numbering, ranges
 from ledgerloom.operators.numbering import numbered
 from ledgerloom.plans import queries
 from ledgerloom.session import FACTOR, UNPACKED, cut
@@ -119,3 +119,19 @@ def test_repeats_are_looked_for_among_edges_of_rings_only(spark, monkeypatch):
     found = graph.elementary_cycles(edges, rings)
     assert plans[0].startswith("Aggregate") and plans[0].count("Aggregate") == 1
     assert [r.members for r in found.collect()] == [["a", "b"]]
+
+
+def test_places_by_reference_deal_small_tabs_once(spark, no_broadcast, monkeypatch):
+    rows = [(w, t, f"{c}{r}", f, float(r)) for w in ("a", None) for t in ("T", None) for c in ("A", "AA", "B") for r in (2, 1, 10, 100)
+            for f in ("=A1", None)]
+    cells = spark.createDataFrame(rows, "workbook_id string, tab_key string, cell_ref string, formula string, value_num double").selectExpr(
+        "*", "string(null) value_text", "boolean(null) value_bool")
+    made = C.by_reference(cells)
+    assert dealings(made) == 1
+    found = sorted(map(repr, made.collect()))
+    refs = [r.cell_ref for r in made.filter("workbook_id = 'a' and tab_key = 'T'").orderBy("position").collect()]
+    assert refs == sorted(refs) and len(refs) == 24
+    assert [r.n for r in made.groupBy("workbook_id", "tab_key").agg(F.max("position").alias("n")).collect()] == [24] * 4
+    monkeypatch.setattr(numbering, "HELD", 23)
+    assert sorted(map(repr, C.by_reference(cells.unionByName(cells.filter("workbook_id = 'a'").limit(1).withColumn("tab_key", F.lit("few")))).filter(
+        "not tab_key <=> 'few'").collect())) == found
